@@ -77,6 +77,12 @@ def binaries(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.binar
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
 
 
+def compact(column: pa.Array) -> pa.Array:
+    """A string column without offset and nulls (null is empty); pyarrow's if_else() goes wrong on slices."""
+    offsets, data = utf8(column)
+    return binaries(data, offsets, pa.string())
+
+
 def keep_columns(df: DataFrame, *used: str) -> list[str]:
     """The input's columns that do not clash with columns that an operator adds."""
     taken = {u.lower() for u in used}
@@ -89,6 +95,7 @@ def word_index(texts: pa.Array, odd: np.ndarray, odd_words) -> tuple[list[str],
     Texts are split at single spaces, each part keeping a space in front of it, the first too; those marked odd get
     the words that odd_words(text) returns, as they are.
     """
+    texts = compact(texts)
     parts = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(None, texts.type), texts), " ")
     counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(parts.flatten())

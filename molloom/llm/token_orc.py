@@ -22,10 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, shared_dir, slices, table, utf8, word_index
+from .common import WordIds, compact, shared_dir, slices, stored, table, utf8, word_index
 
 #: A space run may only be cut where it is one space between other characters; these texts are encoded whole.
 ODD = r"^$|\s \s|\s $|^ |^\s+ "
+#: Files whose starts are broadcast at most; more are joined by shuffling.
+BROADCAST_FILES = 100_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
 
 
@@ -61,7 +63,7 @@ def encoder(json_path: str, ranks_path: str | None):
 
 def encode_texts(texts: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets. Words are encoded one by one: a space before another character always starts a word."""
-    texts = pc.fill_null(texts, "")
+    texts = compact(texts)
     odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
     # the part before the first space is a word of its own, without a space
     cut = pc.find_substring(texts, " ").to_numpy(zero_copy_only=False)
@@ -106,7 +108,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.orc(path).withColumn("file", F.col("_metadata.file_name"))
     # one row a file
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("doc_id").alias("first"))
-    before = files.select(F.col("file").alias("of_file"), (F.sum("size").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("size")).alias("before"))
+    before = stored(files.select(F.col("file").alias("of_file"), (F.sum("size").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("size")).alias("before")))
+    if before.count() <= BROADCAST_FILES:
+        before = F.broadcast(before)
     return rows.join(before, F.col("file") == F.col("of_file")).select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
