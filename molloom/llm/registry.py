@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language_id
+from .mpeg_audio import op5_mpeg_audio
+from .piece_codec import op2_piece_codec
+from .quality_compression import op10_quality_compression
+from .simhash_pigeonhole import op8_simhash_pigeonhole
+from .token_orc import op7_token_orc
+from .winnow_decontamination import OP6_SQL, op6_winnow_decontamination
 
-def queries() -> dict:
-    from .language_id import op3_language_id
-    from .mpeg_audio import op5_mpeg_audio
-    from .piece_codec import op2_piece_codec
-    from .quality_compression import op10_quality_compression
-    from .token_orc import op7_token_orc
 
-    found = [op2_piece_codec, op3_language_id, op5_mpeg_audio, op7_token_orc, op10_quality_compression]
+def queries() -> dict:
+    found = [op2_piece_codec, op3_language_id, op5_mpeg_audio, op6_winnow_decontamination, op7_token_orc, op8_simhash_pigeonhole, op10_quality_compression]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_winnow_decontamination": OP6_SQL}

@@ -74,7 +74,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     cut = docs.select("doc_id", words(F.col(text)).alias("w"))
     hashes = cut.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     mark = F.array(F.struct(F.lit(0).alias("length"), F.size("h").cast("long").alias("f")))
-    each = [F.transform(fingerprints(F.col("h"), n), lambda f, n=n: F.struct(F.lit(n).alias("length"), f.alias("f"))) for n in lengths]
+    tagged = lambda n: lambda f: F.struct(F.lit(n).alias("length"), f.alias("f"))
+    each = [F.transform(fingerprints(F.col("h"), n), tagged(n)) for n in lengths]
     rows = hashes.select("doc_id", F.explode(F.concat(mark, *each)).alias("x")).select("doc_id", "x.length", "x.f")
     rows = rows.select("doc_id", "length", "f", F.when(F.col("length") > 0, F.shiftright("f", 24)).alias("gram"))
     met = rows.join(keys, (F.col("length") == F.col("of_length")) & (F.col("gram") == F.col("of_gram")), "left").where("length = 0 OR of_gram IS NOT NULL")
