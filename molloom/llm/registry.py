@@ -7,12 +7,13 @@ from .mpeg_audio import op5_mpeg_audio
 from .piece_codec import op2_piece_codec
 from .quality_compression import op10_quality_compression
 from .simhash_pigeonhole import op8_simhash_pigeonhole
+from .suffix_dedup import op1_suffix_dedup
 from .token_orc import op7_token_orc
 from .winnow_decontamination import OP6_SQL, op6_winnow_decontamination
 
 
 def queries() -> dict:
-    found = [op2_piece_codec, op3_language_id, op5_mpeg_audio, op6_winnow_decontamination, op7_token_orc, op8_simhash_pigeonhole, op10_quality_compression]
+    found = [op1_suffix_dedup, op2_piece_codec, op3_language_id, op5_mpeg_audio, op6_winnow_decontamination, op7_token_orc, op8_simhash_pigeonhole, op10_quality_compression]
     return {f.__name__: f for f in found}
 
 
