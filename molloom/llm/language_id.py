@@ -113,7 +113,7 @@ def mixtures(doc: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int) -> tu
 
 
 def infer(offsets: np.ndarray, data: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best language and score of each document; -1 and 0 where there is no trigram."""
+    """Best language and score of each document; -1 and 0 for empty ones."""
     n, languages = len(offsets) - 1, logs.shape[0]
     doc, bucket, count = bags(offsets, data)
     each = logs.T[bucket]
@@ -154,6 +154,10 @@ def infer(offsets: np.ndarray, data: np.ndarray, logs: np.ndarray) -> tuple[np.n
         joint = prob * top[doc]
         tempered = joint.sum(1) / prob.sum(1)
         score = np.where(size > 0, top.max(1) * np.clip(np.bincount(doc, count * tempered, n) / np.maximum(size, 1) * 0.5 + 0.5, 0, 1), 0.0)
+    for k in np.flatnonzero((size == 0) & (np.diff(offsets) > 0)).tolist():  # texts of one or two bytes: padded to one trigram
+        short = np.concatenate([data[offsets[k] : offsets[k + 1]], np.full(2, 32, np.uint8)])[:3]
+        like_ = np.exp(logs[:, trigrams(short)[0]])
+        pred[k], score[k] = like_.argmax(), like_.max() / like_.sum()
     return pred, score
 
 
