@@ -33,8 +33,8 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def fold(column: str, n: int) -> Column:
-    """crc32 of the id as text, mod n: the split into training and held-out rows."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of the id as text, mod n: the split into training and held-out rows. A null id counts as ''."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
