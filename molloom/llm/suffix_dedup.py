@@ -93,6 +93,32 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """The text column as a zstandard frame of its bytes: less to shuffle."""
+    schema = docs.withColumn("text", F.col("text").cast("binary")).schema
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[where] = pa.array([pack((t or "").encode()) for t in columns[where].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the packed texts as bytes, in slices of bounded size."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i, j in slices(utf8(batch.column(where))[0], SLICE):
+            part = batch.slice(i, j - i)
+            columns = list(part.columns)
+            columns[where] = pa.array([unpack(t) for t in columns[where].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_key, gram) of every document's anchors."""
     for batch in batches:
@@ -108,7 +134,7 @@ PACKED = "part int, grams binary, sizes binary, bytes binary, block binary, owne
 def _blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of repeated anchors, equal ones of a slice once, in one row for each destination."""
-        for batch in batches:
+        for batch in unpacked(batches, 1):
             offsets, data = utf8(batch.column(1))
             key = batch.column(0).to_numpy()
             lists = batch.column(2)
@@ -212,9 +238,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     grams = stored(docs.select("row_key", "text").mapInArrow(_grams, "row_key long, gram long"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("often"))
+    # stored, so that Spark can split a gram with very many rows in the join
+    often = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("often")))
     lists = grams.join(often, F.col("gram") == F.col("often")).groupBy("row_key").agg(F.collect_set("gram").alias("grams")).withColumnRenamed("row_key", "list_key")
-    rows = docs.join(lists, F.col("row_key") == F.col("list_key")).select("row_key", "text", "grams")
+    rows = packed_texts(docs.select("row_key", "text")).join(lists, F.col("row_key") == F.col("list_key")).select("row_key", "text", "grams")
     packed = rows.mapInArrow(_blocks(parts), PACKED)
     spans = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_parts, "row_key long, start long, stop long")
     return spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -224,11 +251,11 @@ def dedup(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (binary), n_removed, n_spans: each document without the bytes of repeated windows."""
     docs = df.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
     spans = repeated_spans(docs.select("row_key", "text")).withColumnRenamed("row_key", "of_key")
-    rows = docs.join(spans, F.col("row_key") == F.col("of_key"), "left").select("doc_id", "text", "spans")
+    rows = packed_texts(docs).join(spans, F.col("row_key") == F.col("of_key"), "left").select("doc_id", "text", "spans")
     schema = rows.select("doc_id").withColumns({"n_bytes": F.lit(0).cast("long"), "kept": F.lit(None).cast("binary"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")}).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches, 1):
             for i, j in slices(utf8(batch.column(1))[0]):
                 part = batch.slice(i, j - i)
                 offsets, data = utf8(part.column(1))
