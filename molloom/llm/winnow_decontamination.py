@@ -23,8 +23,8 @@ from .common import stored, table
 WINDOW, K = 13, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct benchmark windows (24 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Rows (of some 24 bytes) of benchmark fingerprints, or ids of documents with matches, that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 PLACE = (1 << 24) - 1
 
 
@@ -85,7 +85,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     # matches are extended to whole windows in the documents that have any
     matches = met.where("length > 0").select("doc_id", "length", "gram", F.col("f").bitwiseAND(F.lit(PLACE)).cast("int").alias("place"))
     pairs = matches.join(index, ["length", "gram"]).select("doc_id", "length", "window", (F.col("place") - F.col("offset")).alias("start"))
-    full = cut.join(matches.select("doc_id").distinct(), "doc_id", "left_semi")
+    hit_docs = stored(matches.select("doc_id").distinct())
+    if hit_docs.count() <= BROADCAST_ROWS:
+        hit_docs = F.broadcast(hit_docs)  # else the texts are shuffled
+    full = docs.select("doc_id", F.col(text).alias("text")).join(hit_docs, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     checked = pairs.where("start >= 0").join(full, "doc_id").where(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("window"))
     checked = stored(checked.select("doc_id", "length", "window", "start").distinct())
     places = checked.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
