@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed with each,
 in blocks so that the dictionary counts in all of a long text; the difference of the two sizes over their sum, with
-its spread over the blocks, becomes a probability by logistic regression fitted on other labelled texts.
+its lower quantile over the blocks, becomes a probability by logistic regression fitted on other labelled texts.
 
 The fit uses a bounded sample: the SAMPLE rows of each label with the smallest hash of their id make dictionaries,
 the next SAMPLE rows calibrate. Scores cover every whole text. Empty and null texts get the share of label 1 among
@@ -26,7 +26,11 @@ from .common import fold, keep_columns, slices, table, utf8
 SAMPLE = 1500
 #: Bytes of text of each label that make a dictionary, and of a dictionary.
 DICTIONARY_TEXT, DICTIONARY_BYTES = 3_000_000, 65_536
-BLOCK, LEVEL = 1024, 3
+BLOCK, LEVEL = 512, 3
+#: Blocks of fewer bytes say nothing about repetition; texts that have no other count as usual.
+LEAST, USUAL = 128, -0.9
+#: Quantile of the blocks that stands for a text's worst part; the least block would single out long texts.
+TAIL = 0.2
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -57,12 +61,15 @@ class Sizes:
             d.precompute_compress(level=LEVEL)
             self.packers.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def features(self, data: bytes) -> tuple[float, float, float]:
-        """Normalised difference, its lowest value in a block, and the smaller size a byte."""
-        good, bad = (np.array([len(p.compress(b)) for b in blocks(data)], float) for p in self.packers)
+    def features(self, data: bytes) -> tuple[float, float, float, float]:
+        """Normalised difference, its lower TAIL over the blocks, the smaller size a byte, and its logarithm's lower TAIL."""
+        parts = blocks(data)
+        good, bad = (np.array([len(p.compress(b)) for b in parts], float) for p in self.packers)
         each = (bad - good) / (bad + good)
         g, b = good.sum(), bad.sum()
-        return (b - g) / (b + g), float(each.min()), min(g, b) / len(data)
+        dense = np.log(np.minimum(good, bad) / np.array([max(len(x), LEAST) for x in parts]))
+        low = float(np.quantile(dense[[len(x) >= LEAST for x in parts]], TAIL)) if len(data) >= LEAST else USUAL
+        return (b - g) / (b + g), float(np.quantile(each, TAIL)), min(g, b) / len(data), low
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -120,7 +127,7 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 raw, out = data.tobytes(), np.full(j - i, m["share"])
                 if sizes:
                     full = np.flatnonzero(np.diff(offsets))
-                    x = np.array([sizes.features(raw[offsets[k] : offsets[k + 1]]) for k in full]).reshape(-1, 3)
+                    x = np.array([sizes.features(raw[offsets[k] : offsets[k + 1]]) for k in full]).reshape(-1, 4)
                     z = (x - m["centre"]) / m["spread"] @ m["w"][:-1] + m["w"][-1]
                     out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out)], names=schema.names)
