@@ -191,22 +191,23 @@ def links(nodes: DataFrame, partitions: int | None = None, hot: int = HOT) -> Da
         partitions = 4 if nodes.count() <= WIDE else 3
     groups = bit_groups(nodes, partitions)
     counts = value_counts(nodes, groups)
+    # fingerprints within 0, 1 and (in narrow partitions) 2 bits of each value
     near = []
     for g, c in zip(groups, counts):
-        zero, one, two = c, c.copy(), None
-        for b in range(len(g)):
-            one += c[np.arange(len(c)) ^ (1 << b)]
-        if partitions < 4 or len(g) <= 16:
-            two = one.copy()
-            for m in balls(len(g))[2][1 + len(g) :].tolist():
-                two += c[np.arange(len(c)) ^ m]
-        near.append([zero, one, two])
+        sums = [c.astype(np.int32)]
+        masks = balls(len(g))
+        for radius in (1, 2) if len(g) <= 16 else (1,):
+            total = sums[-1].copy()
+            for m in masks[radius][len(masks[radius - 1]) :].tolist():
+                total += sums[0][np.arange(len(c)) ^ m]
+            sums.append(total)
+        near.append(sums)
     shared = nodes.sparkSession.sparkContext.broadcast(near)
 
     def plan(fps: np.ndarray):
         bits = bits_of(fps)
         values = [value_of(bits, g) for g in groups]
-        costs = [[np.zeros(len(fps)), *(0.5 * len(balls(len(g))[t]) + near_[t][v] for t in range(3))] for g, near_, v in zip(groups, shared.value, values)]
+        costs = [[np.zeros(len(fps)), *(0.5 * len(balls(len(g))[t]) + near_[t][v] for t in range(len(near_)))] for g, near_, v in zip(groups, shared.value, values)]
         chosen, cost = allocate(costs, DISTANCE - partitions + 1)
         return values, chosen, cost > hot + 1000
 
