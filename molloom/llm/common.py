@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; longer single texts are worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,32 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch between Spark and Python at most; texts make batches large.
+BATCH_ROWS = 2000
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches, after which a worker gives its memory back: workers outlive the stages of a job."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, mod n: the split into training and held-out rows. A null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -116,7 +144,7 @@ def word_index(texts: pa.Array, odd: np.ndarray, odd_words) -> tuple[list[str],
 class WordIds:
     """Remembers the ids of words between the slices of a task; starts afresh beyond CACHE_WORDS."""
 
-    CACHE_WORDS = 400_000
+    CACHE_WORDS = 150_000
 
     def __init__(self, encode_words):
         self.encode_words = encode_words  # list of words to flat ids and offsets

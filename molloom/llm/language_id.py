@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, keep_columns, slices, table, utf8
+from .common import fold, keep_columns, mapped, slices, table, utf8
 
 BITS = 16
 #: Languages that a model holds at most; its table has MAX_LANGUAGES * 2 ** BITS cells at most.
@@ -85,7 +85,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(b), pa.string()), pa.array(b), pa.array(c[b].astype(np.int64))], names=["lang", "bucket", "n"])
 
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = mapped(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -200,7 +200,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(np.where(pred >= 0, score, 0.0))], names=schema.names)
 
     rows = df.select(kept).withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_columns, slices, table, utf8
+from .common import keep_columns, mapped, slices, table, utf8
 
 WINDOW, BITS = 2, 1
 LINES = re.compile(b"[^\n]*\n|[^\n]+")
@@ -77,7 +77,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): (doc_id, places array<int>), the chunks to remove."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_chunk_rows, f"doc_id {kind}, place int, chunk long, body binary")
+    rows = mapped(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), _chunk_rows, f"doc_id {kind}, place int, chunk long, body binary")
     spot = F.struct("doc_id", "place")
     first = rows.select("doc_id", "place", "chunk").groupBy("chunk").agg(F.min(spot).alias("keep"), F.max(spot).alias("last")).where("keep <> last").select(F.col("chunk").alias("of_chunk"), "keep")
     found = rows.join(first, F.col("chunk") == F.col("of_chunk"))
@@ -115,7 +115,7 @@ def dedup(df: DataFrame, text: str = "text") -> DataFrame:
                 columns[where] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return mapped(rows, cut, schema)
 
 
 def op4_line_chunks(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, binaries, keep_columns, ranges, slices, table, utf8, word_index
+from .common import WordIds, binaries, keep_columns, mapped, ranges, slices, table, utf8, word_index
 
 SPACE = "▁"
 WORDS = re.compile(" *[^ ]+| +")
@@ -208,8 +208,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 ids, at = m.encode(texts.slice(i, j - i))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(at)), binaries(ids.astype("<u4").view(np.uint8), at * 4)], names=schema.names)
+        m.of_words.forget()
 
-    return df.select(kept).mapInArrow(run, schema)
+    return mapped(df.select(kept), run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "token_ids") -> DataFrame:
@@ -226,7 +227,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "token_ids") -> DataFrame:
                 texts = m.decode(np.ascontiguousarray(data).view("<u4").astype(np.int64), at // 4)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(kept).mapInArrow(run, schema)
+    return mapped(df.select(kept), run, schema)
 
 
 def tokenizer_path(name: str) -> str:

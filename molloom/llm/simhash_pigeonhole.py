@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_columns, ranges, slices, stored, table, utf8
+from .common import keep_columns, mapped, ranges, slices, stored, table, utf8
 from .components import components, local_roots
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
             for i, j in slices(utf8(column)[0]):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(fingerprint(*utf8(column.slice(i, j - i))).view(np.int64))], names=schema.names)
 
-    return df.select(kept).mapInArrow(run, schema)
+    return mapped(df.select(kept), run, schema)
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -256,7 +256,7 @@ def links(nodes: DataFrame, partitions: int | None = None, hot: int = HOT) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
             i = j
 
-    rows = nodes.select("fp").mapInArrow(probes, "key long, kind byte, fp long")
+    rows = mapped(nodes.select("fp"), probes, "key long, kind byte, fp long")
     out = rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(compare, "a long, b long")
 
     def is_crowded(batches):
