@@ -1,13 +1,19 @@
 """Line dedup by content-defined chunks.
 
-A document's lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk where its low bits are
-zero, so an inserted or deleted line moves only the boundaries beside it. Chunks of two or more lines that occur more
-than once anywhere are removed but for their first occurrence (least document id, then place), after their bytes have
-been compared with that occurrence's; chunks whose hash agrees and bytes do not are left.
-
-Single lines are never removed. Null texts have no chunks and stay null; empty texts stay empty; removing all lines
-leaves ''. Rows with one id and text are one document, with one result. Rows without id are never removed from.
-Columns of the input are kept; n_lines and n_removed_lines replace columns of their names.
+A document's lines are hashed, and a rolling hash over WINDOW line hashes names the chunk at each line. Every line
+starts a chunk: none is skipped by a mask, so a repeated passage of two lines is found wherever it lies, and longer
+ones as runs of overlapping chunks, which extend a hit line by line in both directions. An inserted or deleted line
+changes only the chunks that hold it. Chunks that occur more than once anywhere are removed but for their first
+occurrence (least document id, then place), after their bytes have been compared with that occurrence's; chunks whose
+hash agrees and bytes do not are left.
+
+A line goes if a removed chunk holds it; where a chunk overlaps its own first occurrence (equal lines in a row), the
+line that they share stays. Each line that goes equals one at an earlier place, so one of each stays.
+
+Lines are never removed singly: one that repeats goes only with a neighbour that repeats beside it. Null texts have
+no chunks and stay null; empty texts stay empty; removing all lines leaves ''. Rows with one id and text are one document,
+with one result. Rows without id are never removed from. Columns of the input are kept; n_lines and n_removed_lines
+replace columns of their names.
 """
 
 from __future__ import annotations
@@ -22,73 +28,91 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_columns, mapped, slices, table, utf8
+from .common import keep_columns, mapped, ranges, slices, stored, table, utf8
 
-WINDOW, BITS = 2, 1
+WINDOW = 2
 LINES = re.compile(b"[^\n]*\n|[^\n]+")
 PRIME = np.uint64(0x9E3779B185EBCA87)
 
 
-def chunk_ends(hashes: np.ndarray) -> np.ndarray:
-    """Number of lines up to the end of each chunk, for one document's line hashes."""
-    rolled = hashes.copy()
-    for d in range(1, WINDOW):
-        rolled[d:] = rolled[d:] * PRIME + hashes[:-d]
-    rolled ^= rolled >> np.uint64(32)
-    cut = (rolled & np.uint64((1 << BITS) - 1)) == 0
-    cut[: WINDOW - 1] = False  # the window is not full
-    if len(cut):
-        cut[-1] = True
-    return np.flatnonzero(cut) + 1
+def lines_of(text: bytes) -> list[bytes]:
+    """Lines without their ends: the last line counts as ended, so that it can equal one within a text."""
+    return [x.removesuffix(b"\n") for x in LINES.findall(text)]
+
+
+def chunk_hashes(lines: list[bytes]) -> np.ndarray:
+    """The rolling hash of the chunk that starts at each line; the last lines start none."""
+    hashes = np.array([xxhash.xxh64_intdigest(x, 7) for x in lines], np.uint64)
+    n = max(len(lines) - WINDOW + 1, 0)
+    rolled = np.zeros(n, np.uint64)
+    for d in range(WINDOW):
+        rolled = rolled * PRIME + hashes[d : d + n]
+    return rolled ^ rolled >> np.uint64(32)
 
 
 def chunks(text: bytes) -> list[tuple[int, bytes]]:
-    """(lines, bytes) of each chunk; line ends belong to their lines, so the chunks joined are the text."""
-    lines = LINES.findall(text)
-    # the last line counts as ended, so that it can equal one within a text
-    hashes = np.array([xxhash.xxh64_intdigest(x.rstrip(b"\n"), 7) for x in lines], np.uint64)
-    out, start = [], 0
-    for end in chunk_ends(hashes).tolist():
-        out.append((end - start, b"".join(lines[start:end])))
-        start = end
-    return out
+    """(lines, bytes) of the chunk that starts at each line."""
+    lines = lines_of(text)
+    return [(WINDOW, b"\n".join(lines[k : k + WINDOW])) for k in range(len(lines) - WINDOW + 1)]
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of two or more lines: (doc_id, place, chunk, body). body is the chunk as a zstandard frame: less to
+    """(doc_id, place, chunk) of every chunk."""
+    for batch in batches:
+        for i, j in slices(utf8(batch.column(1))[0]):
+            at, data = utf8(batch.column(1).slice(i, j - i))
+            raw = data.tobytes()
+            own = [chunk_hashes(lines_of(raw[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            sizes = np.array([len(x) for x in own], np.int64)
+            who = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), sizes)))
+            yield pa.RecordBatch.from_arrays([who, pa.array(ranges(np.zeros(len(sizes), np.int64), sizes).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64))], names=["doc_id", "place", "chunk"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the chunks asked for, those that a row's text holds, with body: the chunk as a zstandard frame, less to
     shuffle, and two frames of one compressor are equal exactly if their bytes are."""
     pack = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress
     for batch in batches:
         for i, j in slices(utf8(batch.column(1))[0]):
-            at, data = utf8(batch.column(1).slice(i, j - i))
-            raw, keys = data.tobytes(), batch.column(0).slice(i, j - i).to_pylist()
-            key, place, digest, body = [], [], [], []
-            for k, a, b in zip(keys, at[:-1].tolist(), at[1:].tolist()):
-                for p, (n, x) in enumerate(chunks(raw[a:b])):
-                    if n > 1:
-                        x = x.rstrip(b"\n")
-                        key.append(k)
+            part = batch.slice(i, j - i)
+            who, place, chunk, keep, body = [], [], [], [], []
+            for k, (text, asked) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                lines = lines_of(text.encode())
+                hashes = chunk_hashes(lines).view(np.int64).tolist()
+                for x in asked:
+                    p = x["place"]
+                    if p < len(hashes) and hashes[p] == x["chunk"]:
+                        who.append(k)
                         place.append(p)
-                        digest.append(xxhash.xxh64_intdigest(x, 11) - (1 << 63))
-                        body.append(pack(x))
-            yield pa.RecordBatch.from_arrays([pa.array(key, batch.column(0).type), pa.array(place, pa.int32()), pa.array(digest, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "place", "chunk", "body"])
+                        chunk.append(x["chunk"])
+                        keep.append(x["keep_place"])
+                        body.append(pack(b"\n".join(lines[p : p + WINDOW])))
+            columns = [part.column(0).take(pa.array(who, pa.int64())), pa.array(place, pa.int32()), pa.array(chunk, pa.int64()), pa.array(keep, pa.int32()), pa.array(body, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "chunk", "keep_place", "body"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): (doc_id, places array<int>), the chunks to remove."""
+    """docs (doc_id, text): (doc_id, places array<int>), the lines to remove."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = mapped(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), _chunk_rows, f"doc_id {kind}, place int, chunk long, body binary")
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = stored(mapped(docs, _chunk_rows, f"doc_id {kind}, place int, chunk long"))
     spot = F.struct("doc_id", "place")
-    first = rows.select("doc_id", "place", "chunk").groupBy("chunk").agg(F.min(spot).alias("keep"), F.max(spot).alias("last")).where("keep <> last").select(F.col("chunk").alias("of_chunk"), "keep")
-    found = rows.join(first, F.col("chunk") == F.col("of_chunk"))
-    keepers = found.where((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("place") == F.col("keep.place"))).groupBy("chunk").agg(F.first("body").alias("kept_body")).withColumnRenamed("chunk", "kept_chunk")
-    others = found.where(spot != F.col("keep"))
-    same = others.join(keepers, F.col("chunk") == F.col("kept_chunk")).where("body = kept_body")
-    return same.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    first = rows.groupBy("chunk").agg(F.min(spot).alias("keep"), F.max(spot).alias("last")).where("keep <> last").select(F.col("chunk").alias("of_chunk"), "keep")
+    # keep_place: -1 at the first occurrence, its place where it lies in the same document, -2 elsewhere
+    place = F.when(F.col("doc_id") != F.col("keep.doc_id"), -2).when(F.col("place") == F.col("keep.place"), -1).otherwise(F.col("keep.place"))
+    found = rows.join(first, F.col("chunk") == F.col("of_chunk")).select("doc_id", F.struct("place", "chunk", place.alias("keep_place")).alias("one"))
+    asked = found.groupBy("doc_id").agg(F.collect_set("one").alias("asked")).withColumnRenamed("doc_id", "of_doc")
+    texts = docs.join(asked, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "asked")
+    bodies = stored(mapped(texts, _bodies, f"doc_id {kind}, place int, chunk long, keep_place int, body binary"))
+    keepers = bodies.where("keep_place = -1").groupBy("chunk").agg(F.first("body").alias("kept_body")).withColumnRenamed("chunk", "kept_chunk")
+    same = bodies.where("keep_place <> -1").join(keepers, F.col("chunk") == F.col("kept_chunk")).where("body = kept_body")
+    # of a chunk that overlaps its first occurrence, only the lines behind that go
+    begin = F.when(F.col("keep_place") >= 0, F.greatest("place", F.col("keep_place") + WINDOW)).otherwise(F.col("place"))
+    return same.select("doc_id", F.sequence(begin, F.col("place") + WINDOW - 1).alias("lines")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("places"))
 
 
 def dedup(df: DataFrame, text: str = "text") -> DataFrame:
-    """The input with the repeated chunks cut from its text, n_lines (long, before) and n_removed_lines (long)."""
+    """The input with the lines of repeated chunks cut from its text, n_lines (long, before) and n_removed_lines (long)."""
     kept = keep_columns(df, "n_lines", "n_removed_lines")
     gone = repeated_chunks(df.select("doc_id", F.col(text).alias("text"))).toDF("__of_doc", "__places")
     rows = df.select(kept).join(gone, F.col("doc_id") == F.col("__of_doc"), "left").select(*kept, "__places")
@@ -107,10 +131,11 @@ def dedup(df: DataFrame, text: str = "text") -> DataFrame:
                         removed.append(0)
                         out.append(t)
                         continue
-                    own, gone = chunks(t.encode()), set(gone)
-                    total.append(sum(n for n, _ in own))
-                    removed.append(sum(n for p, (n, _) in enumerate(own) if p in gone))
-                    out.append(b"".join(x for p, (_, x) in enumerate(own) if p not in gone).decode())
+                    own, gone = LINES.findall(t.encode()), set(gone)
+                    left = [x for p, x in enumerate(own) if p not in gone]
+                    total.append(len(own))
+                    removed.append(len(own) - len(left))
+                    out.append(b"".join(left).decode())
                 columns = list(part.columns[: len(kept)])
                 columns[where] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
@@ -126,19 +151,17 @@ def op4_line_chunks(spark, sf_dir: str) -> DataFrame:
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[str | None, int]]:
     """{doc_id: (text, removed lines)}, for tests; ids are distinct."""
-    seen, out = set(), {}
+    seen, out = {}, {}
     for d, t in sorted(docs, key=lambda x: x[0]):
         if t is None:
             out[d] = (None, 0)
             continue
-        left, removed = [], 0
-        for n, x in chunks(t.encode()):
-            body = x.rstrip(b"\n")
-            if n > 1 and body in seen:
-                removed += n
-                continue
-            if n > 1:
-                seen.add(body)
-            left.append(x)
-        out[d] = (b"".join(left).decode(), removed)
+        own = t.split("\n")
+        ended = [x + "\n" for x in own[:-1]] + own[-1:] * bool(own[-1])
+        own, gone = own[: len(ended)], set()
+        for k in range(len(own) - 1):
+            before = seen.setdefault((own[k], own[k + 1]), (d, k))
+            if before != (d, k):
+                gone |= {k + 1} if before == (d, k - 1) else {k, k + 1}
+        out[d] = ("".join(x for k, x in enumerate(ended) if k not in gone), len(gone))
     return out

@@ -41,3 +41,26 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     got = sorted(((r.doc_id or 0, r.n_removed_lines) for r in lc.dedup(df).collect()))
     assert got[:3] == [(0, 0), (1, 0), (1, 0)] and got[3][1] > 0
     assert lc.dedup(df.limit(0)).count() == 0
+
+
+def test_no_repeated_passage_stays(spark):
+    """Passages of two to nine lines at random places, against sets of neighbouring lines."""
+    r = random.Random(8)
+    passages = [[f"passage {k} {j} {r.random()}" for j in range(n)] for k, n in enumerate([2] * 20 + [3] * 10 + [4, 5, 6, 7, 8, 9])]
+    docs = []
+    for d in range(120):
+        lines = [f"own {d} {j}" for j in range(r.randint(0, 3))]
+        for p in r.sample(passages, 2):
+            lines += [*p, f"between {d} {r.random()}"]
+        docs.append(lines)
+    docs.append(["same"] * 7)
+    earlier, want = set(), {}
+    for d, lines in enumerate(docs):
+        hit = [k for k in range(len(lines) - 1) if (lines[k], lines[k + 1]) in earlier]
+        gone = {k for h in hit for k in (h, h + 1)}
+        want[d] = [x for k, x in enumerate(lines) if k not in gone]
+        earlier |= set(zip(lines, lines[1:]))
+    want[len(docs) - 1] = ["same"] * 2
+    got = {x.doc_id: [y for y in x.text.split("\n") if y] for x in lc.dedup(frame(spark, ["\n".join(x) for x in docs])).collect()}
+    assert got == want
+    assert {x for lines in got.values() for x in lines} == {x for lines in docs for x in lines}
