@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molloom.operators.store import kept as stored  # noqa: F401
+from molloom.operators.store import shared_dir  # noqa: F401
+
 #: Bytes of text that a task works on at once; longer single texts are worked on alone.
 SLICE_BYTES = 3 << 20
 
@@ -21,27 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/molloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Rows of a batch between Spark and Python at most; texts make batches large.
-BATCH_ROWS = 2000
-
-
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with small batches, after which a worker gives its memory back: workers outlive the stages of a job."""
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow after which a worker gives its memory back: workers outlive the stages of a job."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

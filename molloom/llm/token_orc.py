@@ -5,16 +5,22 @@ ORC keeps the ids with integer run-length encoding; row indexes and Bloom filter
 skip stripes and row groups from metadata alone, and stripes are read in parallel. Each row also holds its start
 within its file; a reader adds the sizes of the files before.
 
-Null and empty texts hold the end id alone. Rows without id come first; rows with one id stay together, in any order.
-Tables without rows give no rows.
+Ids are those of the tokenizers library as it loads, so the special token's own string in a text is one id. Texts go
+to a faster encoder of the same vocabulary (its ranks file); those with the special string or a very long run of
+white space, which that encoder does not take, go to the library.
+
+Null and empty texts hold the end id alone. Rows without id come first; rows with one id stand in the order of their
+texts' hash (equal texts have equal ids, so every order of these is the same). Tables without rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,81 +28,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, compact, shared_dir, slices, stored, table, utf8, word_index
+from .common import shared_dir, slices, stored, table, utf8
 
-#: A space run may only be cut where it is one space between other characters; these texts are encoded whole.
-ODD = r"^$|\s \s|\s $|^ |^\s+ "
+#: A run of white space that the faster encoder may not be able to split.
+LONG_SPACE = r"[\s\x0B\x{85}\p{Z}]{1000}"
 #: Files whose starts are broadcast at most; more are joined by shuffling.
 BROADCAST_FILES = 100_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
 
 
-@lru_cache(maxsize=2)
-def encoder(json_path: str, ranks_path: str | None):
-    """Words to flat ids and offsets. The ranks file holds the same vocabulary for a faster encoder of single words."""
-    if ranks_path:
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = lambda words: [fast.encode_ordinary(w) for w in words]
-    else:
-        import os
+class Encoder:
+    """The tokenizers library beside, with a ranks file of the same vocabulary, a faster encoder for plain texts."""
 
+    def __init__(self, json_path: str, ranks_path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(json_path)
-        whole.encode_special_tokens = True
-        encode = lambda words: [x.ids for x in whole.encode_batch_fast(words, add_special_tokens=False)]
-
-    def flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = encode(words)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int32, int(at[-1])), at
-
-    # the first word of a text has no space in front; word_index() gives it one, \x00 marks it as a first word
-    return WordIds(flat)
-
-
-def encode_texts(texts: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and offsets. Words are encoded one by one: a space before another character always starts a word."""
-    texts = compact(texts)
-    odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-    # the part before the first space is a word of its own, without a space
-    cut = pc.find_substring(texts, " ").to_numpy(zero_copy_only=False)
-    odd |= cut < 0
-    plain = pc.if_else(pa.array(odd), pa.scalar(" ", pa.string()), texts)
-    head = pc.list_element(pc.split_pattern(plain, " ", max_splits=1), 0)
-    tail = pc.list_element(pc.split_pattern(plain, " ", max_splits=1), 1)
-    distinct, number, counts = word_index(tail, odd, lambda t: [])
-    heads = pc.dictionary_encode(pc.if_else(pa.array(odd), texts, head))
-    first = heads.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(distinct)
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    number = np.insert(number, starts[:-1], first)
-    return words(distinct + heads.dictionary.to_pylist(), number, counts + 1)
+        self.whole, self.fast = Tokenizer.from_file(json_path), None
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = "|".join([*(r"\Q" + t + r"\E" for t in special), LONG_SPACE])
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def library(self, text: str) -> list[int]:
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, each text's followed by the end id, and offsets."""
+        texts = pc.fill_null(texts, "")
+        if self.fast is None:
+            lists = [x.ids for x in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        else:
+            odd = pc.match_substring_regex(texts, self.odd).to_pylist()
+            lists = [self.library(t) if o else self.fast(t) for t, o in zip(texts.to_pylist(), odd)]
+        for ids in lists:
+            ids.append(end_id)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1])), at
+
+
+@lru_cache(maxsize=2)
+def encoder(json_path: str, ranks_path: str | None) -> Encoder:
+    return Encoder(json_path, ranks_path)
 
 
 def write(df: DataFrame, path: str, json_path: str, ranks_path: str | None = None, text: str = "text", end_id: int = 0) -> None:
     """Write (doc_id, start_in_file, n_tokens, ids) as ORC files in ascending doc_id order."""
-    rows = df.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select("doc_id", F.col(text).alias("text"), tie.alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = encoder(json_path, ranks_path), 0
+        encode, start = encoder(json_path, ranks_path), 0
         for batch in batches:
             for i, j in slices(utf8(batch.column(1))[0]):
-                ids, at = encode_texts(batch.column(1).slice(i, j - i), words)
-                size = np.diff(at) + 1
-                ends = np.cumsum(size)
-                out = np.full(int(ends[-1]), end_id, np.int32)
-                inside = np.ones(len(out), bool)
-                inside[ends - 1] = False
-                out[inside] = ids
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + ends - size), pa.array(size), lists], names=["doc_id", "start_in_file", "n_tokens", "ids"])
-                start += int(ends[-1])
+                ids, at = encode(batch.column(1).slice(i, j - i), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], names=["doc_id", "start_in_file", "n_tokens", "ids"])
+                start += int(at[-1])
 
     kind = dict(df.dtypes)["doc_id"]
     out = rows.mapInArrow(run, f"doc_id {kind}, start_in_file long, n_tokens long, ids array<int>")
@@ -106,9 +99,10 @@ def write(df: DataFrame, path: str, json_path: str, ranks_path: str | None = Non
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of files that write() made; start counts the ids of all rows before."""
     rows = spark.read.orc(path).withColumn("file", F.col("_metadata.file_name"))
-    # one row a file
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("doc_id").alias("first"))
-    before = stored(files.select(F.col("file").alias("of_file"), (F.sum("size").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("size")).alias("before")))
+    # one row a file; ranges ascend by the number of the task that wrote them
+    number = F.regexp_extract("file", r"part-([0-9]+)", 1).cast("long")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
+    before = stored(files.select(F.col("file").alias("of_file"), (F.sum("size").over(Window.orderBy(number, "file")) - F.col("size")).alias("before")))
     if before.count() <= BROADCAST_FILES:
         before = F.broadcast(before)
     return rows.join(before, F.col("file") == F.col("of_file")).select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")

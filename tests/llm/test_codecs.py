@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from molloom.llm import mpeg_audio, piece_codec, token_orc
 
@@ -44,8 +45,7 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = CASES + made(500, 3)
+    texts = CASES + made(500, 3) + ["a<|endoftext|>b", "<|endoftext|>", "x" + " " * 1_200_000 + "y", "\u3000" * 3000, "z" * 200_000]
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     for k, ranks in enumerate((paths[1], None)):
         token_orc.write(frame(spark, texts), f"file://{tmp_path}/{k}", paths[0], ranks)
@@ -53,12 +53,45 @@ def test_token_files(spark, tmp_path):
         start = 0
         for r, text in zip(rows, texts, strict=True):
             want = [*t.encode(text or "", add_special_tokens=False).ids, 0]
-            assert (r.start, r.n_tokens) == (start, len(want)), repr(text)
-            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(want)}I", *want)), repr(text)
+            assert (r.start, r.n_tokens) == (start, len(want)), repr(text)[:99]
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(want)}I", *want)), repr(text)[:99]
             start += len(want)
         assert [r.doc_id for r in token_orc.lookup(spark, f"file://{tmp_path}/{k}", [3, 7]).orderBy("doc_id").collect()] == [3, 7]
 
 
+def test_starts_of_repeated_ids(spark, tmp_path):
+    """One id in many rows: the starts follow one order of rows, whatever the partitions, and leave no gap."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(7, f"w{k} " * (k % 9)) for k in range(300)] + [(None, "a b"), (1, "a")], "doc_id long, text string")
+    seen = []
+    for k, n in enumerate((3, 8)):
+        token_orc.write(df.repartition(n), f"file://{tmp_path}/{k}", *paths)
+        rows = token_orc.crc32_of_ids(token_orc.read(spark, f"file://{tmp_path}/{k}")).orderBy("start").collect()
+        assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+        assert [r.doc_id for r in rows] == [None, 1] + [7] * 300
+        seen.append([tuple(r) for r in rows])
+    assert seen[0] == seen[1]
+
+
+def rows_read(df):
+    """Rows that the scan of a collected frame gave out, by its own metric."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """40,000 even ids in one file: the row index leaves one group of 2,000 rows for an id, Bloom filters none for an odd id."""
+    df = spark.range(0, 80_000, 2).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).coalesce(1)
+    path = f"file://{tmp_path}/ids"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    token_orc.write(df, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows_read(token_orc.lookup(spark, path, [40_000])) == 2000
+    assert [rows_read(token_orc.lookup(spark, path, [x])) for x in (1, 30_001, 50_001, 79_001)].count(0) >= 3
+    assert rows_read(token_orc.lookup(spark, path, [100_000])) == 0
+
+
 def test_empty_tables(spark, tmp_path):
     docs = frame(spark, ["a"]).limit(0)
     path = public_tokenizers.path("piece_bpe_32k.model")
