@@ -6,6 +6,9 @@ set of (bucket, 1st), (bucket, 2nd), ... occurrences, so that its Tanimoto is th
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +49,25 @@ def tversky(common: Column, a: Column, b: Column, alpha: float = 0.0, beta: floa
     return F.try_divide(common.cast("double"), alpha * (a - common) + beta * (b - common) + common)
 
 
+#: Cutoffs of candidate filters are rounded down to this fraction, so that no product of floats loses an exact tie.
+STEPS = 1_000_000
+
+
+def lower_cutoff(cutoff: float) -> int:
+    """The cutoff in units of 1 / STEPS, rounded down."""
+    return floor(Fraction(repr(float(cutoff))) * STEPS)
+
+
 def size_bound(a: Column, b: Column, cutoff: float) -> Column:
-    """What the sizes alone must fulfil for a Tanimoto of cutoff or more."""
-    return (a >= b * cutoff) & (b >= a * cutoff)
+    """What the sizes alone must fulfil for a Tanimoto of cutoff or more (or a little less)."""
+    c = F.lit(lower_cutoff(cutoff)).cast("long")
+    return (a * STEPS >= b * c) & (b * STEPS >= a * c)
+
+
+def prefix_length(n: Column, cutoff: float) -> Column:
+    """How many elements of n two sets must be compared on: similar enough sets share one of their rarest so many."""
+    c = F.lit(lower_cutoff(cutoff)).cast("long")
+    return n - F.floor((n * c + (STEPS - 1)) / F.lit(STEPS)) + 1
 
 
 def occurrences(token: Column, count: Column) -> Column:

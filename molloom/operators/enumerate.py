@@ -76,9 +76,11 @@ def partner_sample(static: DataFrame, partners: DataFrame, size: int) -> DataFra
 
 
 def lookup_distinct(df: DataFrame, keys: list[str], name: str, value: Column) -> DataFrame:
-    """Adds value, computed once for each distinct key and joined back."""
+    """Adds value, computed once for each distinct key and joined back; a null is a key like any other."""
     done = df.select(*keys).distinct().withColumn(name, value)
-    return df.join(done, keys)
+    done = done.select(*(F.col(k).alias(f"__key_{k}") for k in keys), name)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(done, same).drop(*(f"__key_{k}" for k in keys))
 
 
 def run_scheme(df: DataFrame, first: Column, steps: list[list[tuple[Column | None, Column | str]]]) -> DataFrame:
@@ -90,19 +92,19 @@ def run_scheme(df: DataFrame, first: Column, steps: list[list[tuple[Column | Non
     """
     out = df.withColumn("product", first).withColumn("status", F.when(first.isNull(), "FAIL").otherwise("OK")).withColumn("intermediates", F.array().cast("array<string>"))
     for rules in steps:
-        choice, stop = None, F.lit(False)
+        choice = None
         for condition, result in rules:
-            value = F.col("product") if isinstance(result, str) else result
+            marker = isinstance(result, str)
+            # the rule that decides the value decides on stopping too
+            one = F.struct((F.col("product") if marker else result).cast("string").alias("made"), F.lit(marker and result == STOP).alias("stop"))
             c = F.lit(True) if condition is None else condition
-            choice = F.when(c, value) if choice is None else choice.when(c, value)
-            if result == STOP if isinstance(result, str) else False:
-                stop = c
+            choice = F.when(c, one) if choice is None else choice.when(c, one)
         going = F.col("status") == "OK"
-        made = F.when(going, choice).otherwise(F.col("product"))
-        out = out.withColumn("__made", made).withColumn("__stop", F.coalesce(going & stop, F.lit(False)))
+        out = out.withColumn("__choice", choice).withColumn("__made", F.when(going, F.col("__choice.made")).otherwise(F.col("product")))
+        out = out.withColumn("__stop", F.coalesce(going & F.col("__choice.stop"), F.lit(False)))
         out = out.withColumn("intermediates", F.when(going & F.col("__made").isNotNull(), F.concat("intermediates", F.array(F.col("__made")))).otherwise(F.col("intermediates")))
         status = F.when(going & F.col("__made").isNull(), "FAIL").when(F.col("__stop"), "DONE").otherwise(F.col("status"))
-        out = out.withColumn("status", status).withColumn("product", F.when(F.col("status") == "FAIL", F.lit(None)).otherwise(F.col("__made"))).drop("__made", "__stop")
+        out = out.withColumn("status", status).withColumn("product", F.when(F.col("status") == "FAIL", F.lit(None)).otherwise(F.col("__made"))).drop("__choice", "__made", "__stop")
     return out.withColumn("status", F.when(F.col("status") == "DONE", "OK").otherwise(F.col("status")))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molloom.operators.store import kept
+from molloom.operators.transform import number_rows
 
 
 def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = None, strict_n: bool = False) -> DataFrame:
@@ -33,7 +34,7 @@ def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = N
             break
         live = kept(live.join(left.toDF("better"), "better", "left_semi").join(left.toDF("worse"), "worse", "left_semi"))
     picked = order.join(chosen, "row")
-    numbered = _numbered(picked)
+    numbered = number_rows(picked, ["o"], "group")
     spheres = edges.join(numbered.select(F.col("row").alias("better"), "group"), "better").groupBy(F.col("worse").alias("row")).agg(F.max("group").alias("in_group"))
     out = order.join(numbered.select("row", "group"), "row", "left").join(spheres, "row", "left")
     out = out.select("row", "o", F.when(F.col("group").isNotNull(), "Yes").otherwise("No").alias("chosen"), F.coalesce("group", "in_group").cast("long").alias("group"))
@@ -47,15 +48,6 @@ def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = N
     return out.select("row", F.col("o")["rank"].alias("rank"), "chosen", "group", reason.alias("reason"))
 
 
-def _numbered(picked: DataFrame) -> DataFrame:
-    """Adds group, the number of a row in the order of o from 0: sorted by ranges, each range after the rows before it."""
-    dealt = kept(picked.repartitionByRange("o").sortWithinPartitions("o").withColumn("part", F.spark_partition_id()))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
-    within = F.row_number().over(Window.partitionBy("part").orderBy("o"))
-    return dealt.join(before, "part").withColumn("group", F.col("before") + within - 1).drop("part", "before")
-
-
 def usage_cap(df: DataFrame, block: str, order: list, cap: int) -> DataFrame:
     """At most cap rows of each building block, in the given order; the others are marked 'bbusage'."""
     w = Window.partitionBy(block).orderBy(*order)
@@ -63,9 +55,10 @@ def usage_cap(df: DataFrame, block: str, order: list, cap: int) -> DataFrame:
 
 
 def group_members(df: DataFrame, key: str, row: str) -> DataFrame:
-    """Rows of each scaffold key: number, least row, and all rows as text."""
-    ids = F.transform(F.array_sort(F.collect_list(row)), lambda x: x.cast("string"))
-    return df.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(row).alias("first_row"), F.concat_ws(",", ids).alias("rows"))
+    """The row beside its scaffold key, with the number of rows of that key and the least of them. Groups are counted
+    before they are joined back, so a key of very many rows (the ring-less molecules) is never one list."""
+    groups = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n_rows"), F.min(row).alias("first_row"))
+    return df.join(groups, F.col(key).eqNullSafe(F.col("__key"))).select(key, row, "n_rows", "first_row")
 
 
 def choose_one(df: DataFrame, cluster: str, priority, medoid, row: str) -> DataFrame:

@@ -61,13 +61,14 @@ def similarity_self_join(reps: DataFrame, cutoff: float) -> DataFrame:
 
     Elements are ordered by how many rows hold them. A pair that is similar enough shares one of its first
     n - ceil(cutoff * n) + 1 elements, which are rare; very common elements are joined on only where a set has no others.
+    The filters take the cutoff rounded down, the score itself decides.
     """
     n = F.size("elements")
     held = reps.select("class_id", F.explode("elements").alias("e"))
     often = held.groupBy("e").agg(F.count("*").alias("f")).withColumnRenamed("e", "of_e")
     ranked = held.join(often, F.col("e") == F.col("of_e")).withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("f", "e")))
     sizes = reps.select(F.col("class_id").alias("of_class"), n.alias("n"))
-    prefix = kept(ranked.join(sizes, F.col("class_id") == F.col("of_class")).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(cutoff)) + 1).select("class_id", "e", "n"))
+    prefix = kept(ranked.join(sizes, F.col("class_id") == F.col("of_class")).where(F.col("r") <= fp.prefix_length(F.col("n"), cutoff)).select("class_id", "e", "n"))
     a, b = prefix.toDF("a", "e", "na"), prefix.toDF("b", "e", "nb")
     pairs = a.join(b, "e").where((F.col("a") < F.col("b")) & fp.size_bound(F.col("na"), F.col("nb"), cutoff)).select("a", "b").distinct()
     left, right = reps.toDF("a", "x"), reps.toDF("b", "y")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molloom.operators.store import kept
+
 
 def standardize_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Renames each name's first present alias; a second one raises, as the result would hold the name twice."""
@@ -48,6 +50,32 @@ def tagged_union(frames: dict[str, DataFrame], tag: str = "color") -> DataFrame:
     return union_all([df.withColumn(tag, F.lit(name)) for name, df in frames.items()], drop_incomplete=False)
 
 
+def number_rows(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """Adds name, the place of each row in an order from 0: ranges are sorted apart, each after the rows of those before."""
+    dealt = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = sizes.select(F.col("__part").alias("__of"), "__first", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    return dealt.join(before, F.col("__part") == F.col("__of")).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__of", "__first", "__before")
+
+
 def sample_rows(df: DataFrame, key: str, share: float) -> DataFrame:
     """About so large a share of the rows, chosen by a hash of their key: the same rows at any partitioning."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: int = 0) -> list[Column]:
+    """The order of a seeded shuffle: a hash of the keys, then the keys. It does not depend on partitions."""
+    return [F.xxhash64(F.lit(seed), *keys), *map(F.col, keys)]
+
+
+def sample_exactly(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Exactly n rows (all, where there are fewer), the first of a seeded shuffle; partial sorts keep n rows a task."""
+    return df.orderBy(*shuffled(df, keys, seed)).limit(n)
+
+
+def picks_with_replacement(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n picks, each any row: (pick, number) and the row's columns. Equal seeds give equal picks."""
+    rows = number_rows(df, [F.col(k) for k in keys])
+    total = rows.count()
+    picks = df.sparkSession.range(n if total else 0).select(F.col("id").alias("pick"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("__number"))
+    return picks.join(rows, F.col("__number") == F.col("number")).drop("__number")

@@ -40,13 +40,17 @@ SQL = {
     "query_neighbour_counts": f"WITH {PAIRS} SELECT q, count(*) FILTER (t > 0.5) n_similar, round(avg(t), 6) mean_score FROM p GROUP BY q",
     "knn_graph": f"WITH {PAIRS} SELECT q, vec_id, score, n FROM (SELECT q, vec_id, round(t, 6) score, row_number() OVER (PARTITION BY q ORDER BY round(t, 6) DESC, vec_id) n FROM p WHERE q <> vec_id) WHERE n <= 25",
     "count_tanimoto_neighbours": f"WITH {TOKENS} SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE d = class_id) n_links FROM c",
+    "neighbours_at_the_cutoff": """WITH s AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 47 UNION ALL SELECT DISTINCT 0, p_brand FROM part),
+k AS (SELECT l_suppkey, list_sort(list(p_brand)) b FROM s GROUP BY l_suppkey), c AS (SELECT *, min(l_suppkey) OVER (PARTITION BY b) class_id FROM k), r AS (SELECT * FROM c WHERE l_suppkey = class_id),
+l AS (SELECT x.class_id i, count(*) n FROM r x JOIN r y ON x.class_id <> y.class_id AND 100 * len(list_intersect(x.b, y.b)) >= 56 * (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) GROUP BY 1)
+SELECT l_suppkey, class_id, coalesce(n, 0) n_links FROM c LEFT JOIN l ON i = class_id""",
     "sphere_exclusion": f"""WITH RECURSIVE {SPARSE},
 g(i, ch, ok) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
  SELECT n.i, CASE WHEN n.ok THEN list_append(n.ch, n.i) ELSE n.ch END, n.ok FROM (SELECT o.i, g.ch,
   NOT EXISTS (SELECT 1 FROM o x WHERE list_contains(g.ch, x.i) AND len(list_intersect(x.fp, o.fp)) / (len(x.fp) + len(o.fp) - len(list_intersect(x.fp, o.fp))) >= 0.45) ok FROM g JOIN o ON o.i = g.i + 1) n)
 SELECT vec_id, CASE WHEN ok THEN 'OK' ELSE 'sim' END reason FROM g JOIN o USING (i)""",
     "usage_cap": "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 THEN 'OK' ELSE 'bbusage' END reason FROM orders",
-    "scaffold_groups": "SELECT p_type, count(*) n_rows, min(p_partkey) first_row, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) \"rows\" FROM part GROUP BY p_type",
+    "scaffold_groups": "SELECT p_type, p_partkey, count(*) OVER t n_rows, min(p_partkey) OVER t first_row FROM part WINDOW t AS (PARTITION BY p_type)",
     "choose_compounds": """WITH m AS (SELECT p_brand, p_type main_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) r FROM part GROUP BY p_brand, p_type) WHERE r = 1)
 SELECT p_brand, p_partkey, p_type, p_size FROM (SELECT part.*, row_number() OVER (PARTITION BY p_brand ORDER BY (p_size = 7 AND p_type = main_type) DESC, (p_size = 7) DESC, (p_type = main_type) DESC, p_partkey) r FROM part JOIN m USING (p_brand)) WHERE r = 1""",
     "cluster_extremes": "SELECT l_returnflag, min(l_extendedprice) least, max(l_extendedprice) most FROM lineitem GROUP BY l_returnflag",
@@ -68,10 +72,13 @@ st AS (SELECT min(x) st FROM range(7919, 8920) t(x), z WHERE gcd(x, a * b * c) =
 s AS (SELECT i sample_id, (i * st) % (a * b * c) m, a, b, c FROM range(0, 500) r(i), z, st WHERE i < a * b * c)
 SELECT sample_id, x.bb_id bb_1, y.bb_id bb_2, w.bb_id bb_3 FROM s JOIN n x ON x.cycle = 'BB1' AND x.pos = m // (b * c) JOIN n y ON y.cycle = 'BB2' AND y.pos = m // c % b JOIN n w ON w.cycle = 'BB3' AND w.pos = m % c""",
     "memoised_lookup": "SELECT l_orderkey, l_linenumber, l_partkey || '.' || l_suppkey product FROM lineitem",
+    "lookup_with_nulls": "SELECT l_orderkey, l_linenumber, concat_ws('.', round(nullif(l_discount, 0) * 100)::INT::VARCHAR, l_returnflag) product FROM lineitem",
     "picklist_join": "SELECT c_custkey bb_id, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey",
     "directory_union": "SELECT * FROM (SELECT c_custkey bb_id, c_name smiles FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier) WHERE bb_id IS NOT NULL AND smiles IS NOT NULL",
     "keep_first_product": "SELECT p_name, min(p_partkey) p_partkey FROM part GROUP BY p_name",
     "reaction_scheme": f"WITH {SCHEME} SELECT p_partkey, x3 product, CASE WHEN x3 IS NULL THEN 'FAIL' ELSE 'OK' END status, concat_ws('>', x1, x2, CASE WHEN NOT done THEN x3 END) trace FROM s3",
+    "scheme_with_stops": """SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand || '+a' || CASE WHEN p_size = 45 THEN '' ELSE '=c!' END WHEN p_size > 30 THEN p_brand WHEN p_size > 20 THEN 'b-' || p_brand || '=c!' ELSE p_brand END product,
+'OK' status, CASE WHEN p_size = 45 THEN 2 WHEN p_size > 40 OR p_size BETWEEN 21 AND 30 THEN 3 ELSE 1 END n_steps FROM part""",
     "status_split": f"WITH {SCHEME} SELECT CASE WHEN x3 IS NULL THEN 'FAIL' ELSE 'OK' END status, count(*) n, count(x3) n_products FROM s3 GROUP BY 1",
     "deprotection_variants": "WITH v AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') w FROM conversations) SELECT conv_id, turn, 0 n, w[1] variant FROM v UNION ALL SELECT conv_id, turn, 1, w[len(w)] FROM v WHERE len(w) > 1",
     "partner_sample": "SELECT p_brand, least(20, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size FROM part))) n_partners, least(20, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size FROM part))) n_distinct FROM (SELECT DISTINCT p_brand FROM part)",

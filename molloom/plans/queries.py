@@ -98,6 +98,17 @@ def count_tanimoto_neighbours(spark, sf):
     return similarity.neighbour_counts(pairs, rows).select(F.col("row").alias("doc_id"), "class_id", "n_links")
 
 
+@query
+def neighbours_at_the_cutoff(spark, sf):
+    """Brands that suppliers sell in large lots, and all brands (supplier 0): classes, and classes at a Jaccard of .56 or more,
+    which 14 of 25 brands meet exactly."""
+    items = read(spark, sf, "lineitem").where("l_quantity > 47").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = items.groupBy(F.col("l_suppkey").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
+    every = read(spark, sf, "part").groupBy(F.lit(0).cast("long").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
+    reps, rows = similarity.classes(sold.unionByName(every), "row", "brands")
+    return similarity.neighbour_counts(similarity.similarity_self_join(reps, 0.56), rows).select(F.col("row").alias("l_suppkey"), "class_id", "n_links")
+
+
 def sparse_prints(spark, sf):
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), fp.largest_places(F.transform("embedding", lambda x: F.abs(x)), 8).alias("bits"))
 
@@ -127,7 +138,7 @@ def usage_cap(spark, sf):
 
 @query
 def scaffold_groups(spark, sf):
-    """A1, D3: parts by type."""
+    """A1: each part with the size and the first part of its type."""
     return selection.group_members(read(spark, sf, "part"), "p_type", "p_partkey")
 
 
@@ -242,6 +253,14 @@ def memoised_lookup(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "product")
 
 
+@query
+def lookup_with_nulls(spark, sf):
+    """The same where keys are null: a value of each (discount, part) with nulls for the discount 0."""
+    items = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("nullif(l_discount, 0)").alias("d"), "l_returnflag")
+    out = en.lookup_distinct(items, ["d", "l_returnflag"], "product", F.concat_ws(".", F.round(F.col("d") * 100).cast("int").cast("string"), "l_returnflag"))
+    return out.select("l_orderkey", "l_linenumber", "product")
+
+
 @query
 def picklist_join(spark, sf):
     """Customers with their large orders, or none."""
@@ -281,6 +300,15 @@ def reaction_scheme(spark, sf):
     return out.select("p_partkey", "product", "status", F.concat_ws(">", "intermediates").alias("trace"))
 
 
+@query
+def scheme_with_stops(spark, sf):
+    """Rules before a STOP win over it, and a second STOP does not undo the first."""
+    p, size = F.col("product"), F.col("p_size")
+    steps = [[(size > 40, F.concat(p, F.lit("+a"))), (size > 30, en.STOP), (size > 20, F.concat(F.lit("b-"), p)), (None, en.STOP)], [(size == 45, en.STOP), (None, F.concat(p, F.lit("=c")))], [(None, F.concat(p, F.lit("!")))]]
+    out = en.run_scheme(read(spark, sf, "part"), F.col("p_brand"), steps)
+    return out.select("p_partkey", "product", "status", F.size("intermediates").alias("n_steps"))
+
+
 @query
 def status_split(spark, sf):
     """Products by status."""

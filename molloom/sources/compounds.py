@@ -5,50 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molloom.operators.transform import standardize_columns
+from molloom.operators.transform import number_rows, standardize_columns, union_all
 
+# Column names under which ids and structures come.
 IDS, SMILES = ["BB_ID", "id", "ID", "vendor_id", "VENDOR_ID"], ["SMILES", "smiles"]
 
 
+#: Where a row stands in its files: by path, then by block, then in reading order.
+PLACE = "struct(_metadata.file_path, _metadata.file_block_start, monotonically_increasing_id() AS at)"
+
+
 def read_compounds(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None, schema: str | None = None, limit: int = -1) -> DataFrame:
     """A delimited file with a header; all columns are text unless a schema is given. limit: rows in file order, -1 for all."""
     reader = spark.read.option("header", True).option("sep", sep)
     df = (reader.schema(schema) if schema else reader).csv(path)
-    df = df.select(columns) if columns else df
-    return df if limit < 0 else df.limit(limit)
+    if limit >= 0:
+        df = df.withColumn("__place", F.expr(PLACE)).orderBy("__place").limit(limit).drop("__place")
+    return df.select(columns) if columns else df
 
 
 def read_blocks(spark: SparkSession, folder: str, scheme: str, spec: str | None = None) -> DataFrame:
-    """(cycle, bb_id, smiles) of the files <scheme>[.<spec>].BB<n>.csv in a folder, each id of a cycle once (the least SMILES)."""
+    """(cycle, bb_id, smiles) of the files <scheme>[.<spec>].BB<n>.csv in a folder, each id of a cycle once (its first row)."""
     start = f"{scheme}.{spec}" if spec else scheme
     df = spark.read.option("header", True).option("pathGlobFilter", f"{start}.BB*.csv").csv(folder)
-    df = standardize_columns(df, {"bb_id": IDS, "smiles": SMILES})
     cycle = F.regexp_extract(F.col("_metadata.file_name"), r"\.(BB[0-9]+)\.[^.]*$", 1)
-    rows = df.select(cycle.alias("cycle"), "bb_id", "smiles").where("cycle <> ''")
-    return rows.groupBy("cycle", "bb_id").agg(F.min("smiles").alias("smiles"))
+    df = df.select("*", cycle.alias("cycle"), F.expr(PLACE).alias("__place")).where("cycle <> ''")
+    rows = standardize_columns(df, {"bb_id": IDS, "smiles": SMILES})
+    return rows.groupBy("cycle", "bb_id").agg(F.min_by(F.struct("smiles"), "__place")["smiles"].alias("smiles"))
+
 
+def read_folder(spark: SparkSession, folder: str, complete: bool = True) -> DataFrame:
+    """(bb_id, smiles) of all CSV files in a folder, without the rows that lack one of them unless complete is False."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("file"))
+    # a read for each file, as their headers differ; only the paths are collected
+    parts = [standardize_columns(spark.read.option("header", True).csv(r[0]), {"bb_id": IDS, "smiles": SMILES}).select("bb_id", "smiles") for r in lines.distinct().orderBy("file").collect()]
+    return union_all(parts, complete)
 
-def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(molblock, props map) of the records of SD files; records without a mol block end are skipped.
 
-    A property header directly after a value (its blank line missing) is still found. Equal names: the last value stays.
+def read_sdf(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
+    """(record, molblock, props map, names array) of the records of SD files; records without a mol block end are skipped.
+
+    record counts the records from 0 in file order; limit: so many of them, -1 for all. Lines may end with CR and LF.
+    A property header directly after a value (its blank line missing) is still found. names: the properties as they
+    stand in the record. Equal names: the last value stays.
     """
-    rows = spark.read.option("lineSep", "$$$$\n").text(path).select(F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    rows = rows.where(F.instr("value", "M  END") > 0)
+    rows = spark.read.option("lineSep", "$$$$").text(path).select(F.regexp_replace("value", "\r\n", "\n").alias("value"), F.expr(PLACE).alias("__place"))
+    # what is left of the mark's line goes, unless an empty title stands there: three lines before the counts line
+    value = F.regexp_replace("value", r"^\n(?!(?:[^\n]*\n){2}[^\n]*V[23]000)", "")
+    rows = rows.withColumn("value", value).where(F.instr("value", "M  END") > 0)
+    if limit >= 0:
+        rows = rows.orderBy("__place").limit(limit)
+    rows = number_rows(rows, ["__place"], "record")
     tail = F.regexp_replace(F.substring_index("value", "M  END", -1), r"\n>", "\n\n>")
     found = F.regexp_extract_all(tail, F.lit(r"(?s)>[^<\n]*<([^>\n]+)>[^\n]*\n(.*?)(?=\n\n|\n*$)"), 0)
     pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"<([^>\n]+)>", 1).alias("k"), F.rtrim(F.regexp_extract(x, r"(?s)>[^\n]*\n(.*)", 1)).alias("v")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])
     block = F.concat(F.substring_index("value", "M  END", 1), F.lit("M  END"))
-    return rows.select(block.alias("molblock"), F.map_from_arrays(names, last).alias("props"))
+    return rows.select("record", block.alias("molblock"), F.map_from_arrays(names, last).alias("props"), names.alias("names"))
 
 
 def properties(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """SD properties as columns; by default all names that occur, sorted. A record without a property has null."""
+    """SD properties as columns beside record and molblock; by default all names, as they first occur in the file.
+
+    A record without a property has null. Only the distinct names are collected; they become columns.
+    """
     if names is None:
-        names = [r[0] for r in df.select(F.explode(F.map_keys("props")).alias("k")).distinct().orderBy("k").collect()]
-    return df.select("molblock", *(F.col("props")[n].alias(n) for n in names))
+        seen = df.select("record", F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min(F.struct("record", "at")).alias("first"))
+        names = [r[0] for r in seen.orderBy("first").select("name").collect()]
+    return df.select("record", "molblock", *(F.col("props")[n].alias(n) for n in names))
 
 
 def write_split(df: DataFrame, path: str, flag: Column, name: str = "status") -> None:

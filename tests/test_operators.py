@@ -98,6 +98,27 @@ def test_scheme_fails_and_stops(spark):
     assert got == {1: ("s", "OK", ["s"]), 2: ("xy", "OK", ["x", "xy"]), 3: (None, "FAIL", [])}
 
 
+def test_a_later_stop_does_not_undo_an_earlier_rule(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k int")
+    first = [(F.col("k") == 1, F.lit("x")), (F.col("k") == 2, en.STOP), (F.col("k") == 3, F.lit("z")), (None, en.STOP)]
+    got = {r.k: (r["product"], r.status) for r in en.run_scheme(df, F.lit("s"), [first, [(None, F.concat("product", F.lit("y")))]]).collect()}
+    assert got == {1: ("xy", "OK"), 2: ("s", "OK"), 3: ("zy", "OK"), 4: ("s", "OK")}
+
+
+def test_lookup_keeps_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, 5, None), (3, None, None), (4, None, "a")], "i int, k int, m string")
+    got = sorted((r.i, r.v) for r in en.lookup_distinct(df, ["k", "m"], "v", F.concat_ws("-", F.col("k").cast("string"), "m")).collect())
+    assert got == [(1, "a"), (2, "5"), (3, ""), (4, "a")]
+
+
+@pytest.mark.parametrize("cutoff, n, m", [(0.56, 25, 14), (0.55, 20, 11), (0.28, 25, 7), (0.07, 100, 7), (0.57, 100, 57), (1 / 3, 9, 3), (1.0, 4, 4)])
+def test_pairs_exactly_at_the_cutoff(spark, cutoff, n, m):
+    rows = [(1, [f"e{k}" for k in range(n)]), (2, [f"e{k}" for k in range(n - m, n)]), (3, [f"e{k}" for k in range(n - m, n - 1)] or ["z"])]
+    reps = spark.createDataFrame(rows, "class_id long, elements array<string>")
+    got = {(r.a, r.b) for r in similarity.similarity_self_join(reps, cutoff).collect()}
+    assert ((1, 2) in got) and ((1, 3) in got) == (jaccard(set(rows[0][1]), set(rows[2][1])) >= cutoff)
+
+
 def test_transforms(spark):
     df = spark.createDataFrame([("C[C@H](O)N.Cl/C=C/C", "1")], "SMILES string, ID string")
     out = transform.standardize_columns(df, {"smiles": ["SMILES"], "bb_id": ["ID"]})
@@ -108,6 +129,29 @@ def test_transforms(spark):
         transform.standardize_columns(df.selectExpr("*", "ID AS id_"), {"x": ["ID", "id_"]})
 
 
+def test_numbers_samples_and_picks(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("x").alias("number_")).repartition(7)
+    assert sorted((r.k, r.number) for r in transform.number_rows(df, [F.col("k").desc()]).collect()) == [(k, 999 - k) for k in range(1000)]
+    a, b = transform.sample_exactly(df, ["k"], 50, 3), transform.sample_exactly(df.repartition(2), ["k"], 50, 3)
+    assert {r.k for r in a.collect()} == {r.k for r in b.collect()} and a.count() == 50 == b.distinct().count()
+    assert transform.sample_exactly(df, ["k"], 5000).count() == 1000
+    order = [r.k for r in df.orderBy(*transform.shuffled(df, ["k"], 1)).collect()]
+    assert sorted(order) == list(range(1000)) != order and order != [r.k for r in df.orderBy(*transform.shuffled(df, ["k"], 2)).collect()]
+    picks = transform.picks_with_replacement(df.where("k < 20"), ["k"], 400).collect()
+    assert sorted(r.pick for r in picks) == list(range(400)) and len({r.k for r in picks}) == 20
+    assert transform.picks_with_replacement(df.limit(0), ["k"], 4).count() == 0
+
+
+def test_files_in_order(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("id;smiles\n" + "".join(f"{k};C{k}\n" for k in range(500)))
+    assert [r.id for r in compounds.read_compounds(spark, f"file://{tmp_path}/c.csv", ";", limit=3).collect()] == ["0", "1", "2"]
+    assert compounds.read_compounds(spark, f"file://{tmp_path}/c.csv", ";", columns=["smiles"]).count() == 500
+    os.mkdir(tmp_path / "f")
+    (tmp_path / "f" / "a.csv").write_text("id,smiles\n1,C\n2,\n")
+    (tmp_path / "f" / "b.csv").write_text("smiles,more,id\nN,x,3\n")
+    assert sorted(tuple(r) for r in compounds.read_folder(spark, f"file://{tmp_path}/f").collect()) == [("1", "C"), ("3", "N")]
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (4.9,), (5.0,), (45.0,), (45.1,), (-1.0,)], "v double")
     assert {r.bin: r.n for r in profile.histogram(df, F.col("v"), 0.0, 50.0, 11).collect()} == {0: 2, 1: 1, 8: 1}
@@ -118,7 +162,14 @@ def test_sdf_and_block_files(spark, tmp_path):
     (tmp_path / "a.sdf").write_text(sdf)
     rows = compounds.read_sdf(spark, f"file://{tmp_path}/a.sdf").collect()
     assert [r.props for r in rows] == [{"id": "7", "name": "a b\nc"}, {"id": "8", "x": "1"}]
-    assert compounds.properties(compounds.read_sdf(spark, f"file://{tmp_path}/a.sdf")).columns == ["molblock", "id", "name", "x"]
+    assert compounds.properties(compounds.read_sdf(spark, f"file://{tmp_path}/a.sdf")).columns == ["record", "molblock", "id", "name", "x"]
+    whole = "\n  prog\n\n  0  0  0     0  0            999 V2000\nM  END\n> <id>\n1\n\n$$$$\n"
+    (tmp_path / "b.sdf").write_bytes((whole + sdf + whole).replace("\n", "\r\n").encode())
+    rows = compounds.read_sdf(spark, f"file://{tmp_path}/b.sdf").collect()
+    rows = sorted(rows, key=lambda r: r.record)
+    assert [r.record for r in rows] == [0, 1, 2, 3] and compounds.read_sdf(spark, f"file://{tmp_path}/b.sdf", 2).count() == 2
+    assert [r.props["id"] for r in rows] == ["1", "7", "8", "1"] and rows[1].props["name"] == "a b\nc"
+    assert rows[0].molblock == rows[3].molblock == whole.split("\n> <id>")[0] and rows[1].molblock == "m1\n\n\nM  END"
     os.mkdir(tmp_path / "bb")
     (tmp_path / "bb" / "L.BB1.csv").write_text("id,smiles\n1,C\n1,CC\n2,N\n")
     (tmp_path / "bb" / "L.BB12.csv").write_text("id,smiles\n9,O\n")
