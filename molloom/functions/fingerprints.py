@@ -61,13 +61,14 @@ def lower_cutoff(cutoff: float) -> int:
 def size_bound(a: Column, b: Column, cutoff: float) -> Column:
     """What the sizes alone must fulfil for a Tanimoto of cutoff or more (or a little less)."""
     c = F.lit(lower_cutoff(cutoff)).cast("long")
+    a, b = a.cast("long"), b.cast("long")
     return (a * STEPS >= b * c) & (b * STEPS >= a * c)
 
 
 def prefix_length(n: Column, cutoff: float) -> Column:
     """How many elements of n two sets must be compared on: similar enough sets share one of their rarest so many."""
     c = F.lit(lower_cutoff(cutoff)).cast("long")
-    return n - F.floor((n * c + (STEPS - 1)) / F.lit(STEPS)) + 1
+    return n - F.floor((n.cast("long") * c + (STEPS - 1)) / F.lit(STEPS)) + 1
 
 
 def occurrences(token: Column, count: Column) -> Column:
