@@ -40,7 +40,7 @@ SQL = {
     "query_neighbour_counts": f"WITH {PAIRS} SELECT q, count(*) FILTER (t > 0.5) n_similar, round(avg(t), 6) mean_score FROM p GROUP BY q",
     "knn_graph": f"WITH {PAIRS} SELECT q, vec_id, score, n FROM (SELECT q, vec_id, round(t, 6) score, row_number() OVER (PARTITION BY q ORDER BY round(t, 6) DESC, vec_id) n FROM p WHERE q <> vec_id) WHERE n <= 25",
     "count_tanimoto_neighbours": f"WITH {TOKENS} SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE d = class_id) n_links FROM c",
-    "neighbours_at_the_cutoff": """WITH s AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 47 UNION ALL SELECT DISTINCT 0, p_brand FROM part),
+    "neighbours_at_the_cutoff": """WITH s AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 47 UNION ALL SELECT DISTINCT -1, p_brand FROM part),
 k AS (SELECT l_suppkey, list_sort(list(p_brand)) b FROM s GROUP BY l_suppkey), c AS (SELECT *, min(l_suppkey) OVER (PARTITION BY b) class_id FROM k), r AS (SELECT * FROM c WHERE l_suppkey = class_id),
 l AS (SELECT x.class_id i, count(*) n FROM r x JOIN r y ON x.class_id <> y.class_id AND 100 * len(list_intersect(x.b, y.b)) >= 56 * (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) GROUP BY 1)
 SELECT l_suppkey, class_id, coalesce(n, 0) n_links FROM c LEFT JOIN l ON i = class_id""",

@@ -100,11 +100,11 @@ def count_tanimoto_neighbours(spark, sf):
 
 @query
 def neighbours_at_the_cutoff(spark, sf):
-    """Brands that suppliers sell in large lots, and all brands (supplier 0): classes, and classes at a Jaccard of .56 or more,
+    """Brands that suppliers sell in large lots, and all brands (supplier -1): classes, and classes at a Jaccard of .56 or more,
     which 14 of 25 brands meet exactly."""
     items = read(spark, sf, "lineitem").where("l_quantity > 47").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sold = items.groupBy(F.col("l_suppkey").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
-    every = read(spark, sf, "part").groupBy(F.lit(0).cast("long").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
+    every = read(spark, sf, "part").groupBy(F.lit(-1).cast("long").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
     reps, rows = similarity.classes(sold.unionByName(every), "row", "brands")
     return similarity.neighbour_counts(similarity.similarity_self_join(reps, 0.56), rows).select(F.col("row").alias("l_suppkey"), "class_id", "n_links")
 
