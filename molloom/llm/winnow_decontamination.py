@@ -6,9 +6,10 @@ shared window is found. Document fingerprints are joined to those of the benchma
 extended to the whole window and compared word by word. The benchmark's fingerprints are broadcast where their number
 is counted to be at most BROADCAST_ROWS, else both sides are shuffled.
 
-Null texts and texts without words have no words and no hits. Items without words have no window. Rows with one id
-count as one document (of repeated ids the largest word count is reported). Tables without rows give no rows; without
-benchmark rows nothing is hit. Extra columns of either table are ignored.
+Null texts and texts without words have no words and no hits. Items without words have no window. Every row is a document of
+its own, also where its id is null or repeated: rows are told apart by 128-bit hashes of id and text, so only equal rows
+share a result. Tables without rows give no rows; without benchmark rows nothing is hit; items without id count under ''.
+Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +55,16 @@ def windows(benchmark: DataFrame, text: str = "text") -> DataFrame:
     return w.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("window")).distinct()
 
 
+#: A row's key: hashes of its id and text, never null.
+KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, doc_id, text)."""
+    of = [F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col(text).isNull(), F.col(text)]
+    return docs.select(F.xxhash64(F.lit(1), *of).alias("k1"), F.xxhash64(F.lit(2), *of).alias("k2"), "doc_id", F.col(text).alias("text"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items): hit words and the sorted ids of the items with occurring windows."""
     of_items = stored(windows(benchmark))
@@ -71,34 +82,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
         keys = F.broadcast(keys)
 
     # one row a document with its word count, and one a fingerprint that the benchmark has too
-    cut = docs.select("doc_id", words(F.col(text)).alias("w"))
-    hashes = cut.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    cut = keyed(docs, text).select(*KEY, "doc_id", words(F.col("text")).alias("w"))
+    hashes = cut.select(*KEY, "doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     mark = F.array(F.struct(F.lit(0).alias("length"), F.size("h").cast("long").alias("f")))
     tagged = lambda n: lambda f: F.struct(F.lit(n).alias("length"), f.alias("f"))
     each = [F.transform(fingerprints(F.col("h"), n), tagged(n)) for n in lengths]
-    rows = hashes.select("doc_id", F.explode(F.concat(mark, *each)).alias("x")).select("doc_id", "x.length", "x.f")
-    rows = rows.select("doc_id", "length", "f", F.when(F.col("length") > 0, F.shiftright("f", 24)).alias("gram"))
+    rows = hashes.select(*KEY, "doc_id", F.explode(F.concat(mark, *each)).alias("x")).select(*KEY, "doc_id", "x.length", "x.f")
+    rows = rows.select(*KEY, "doc_id", "length", "f", F.when(F.col("length") > 0, F.shiftright("f", 24)).alias("gram"))
     met = rows.join(keys, (F.col("length") == F.col("of_length")) & (F.col("gram") == F.col("of_gram")), "left").where("length = 0 OR of_gram IS NOT NULL")
-    met = stored(met.select("doc_id", "length", "f", "gram"))
-    sizes = met.where("length = 0").groupBy("doc_id").agg(F.max("f").alias("n_words"))
+    met = stored(met.select(*KEY, "doc_id", "length", "f", "gram"))
+    sizes = met.where("length = 0").select(*KEY, "doc_id", F.col("f").alias("n_words"))
 
     # matches are extended to whole windows in the documents that have any
-    matches = met.where("length > 0").select("doc_id", "length", "gram", F.col("f").bitwiseAND(F.lit(PLACE)).cast("int").alias("place"))
-    pairs = matches.join(index, ["length", "gram"]).select("doc_id", "length", "window", (F.col("place") - F.col("offset")).alias("start"))
-    hit_docs = stored(matches.select("doc_id").distinct())
+    matches = met.where("length > 0").select(*KEY, "length", "gram", F.col("f").bitwiseAND(F.lit(PLACE)).cast("int").alias("place"))
+    pairs = matches.join(index, ["length", "gram"]).select(*KEY, "length", "window", (F.col("place") - F.col("offset")).alias("start"))
+    hit_docs = stored(matches.select(*KEY).distinct())
     if hit_docs.count() <= BROADCAST_ROWS:
         hit_docs = F.broadcast(hit_docs)  # else the texts are shuffled
-    full = docs.select("doc_id", F.col(text).alias("text")).join(hit_docs, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    checked = pairs.where("start >= 0").join(full, "doc_id").where(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("window"))
-    checked = stored(checked.select("doc_id", "length", "window", "start").distinct())
-    places = checked.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    full = keyed(docs, text).join(hit_docs, KEY, "left_semi").select(*KEY, "text").distinct().select(*KEY, words(F.col("text")).alias("w"))
+    checked = pairs.where("start >= 0").join(full, KEY).where(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("window"))
+    checked = stored(checked.select(*KEY, "length", "window", "start").distinct())
+    places = checked.groupBy(*KEY, "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     # a word counts once: each stretch counts beyond the furthest end before it
-    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    stretch = places.select("doc_id", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("n"))
-    hit = stretch.groupBy("doc_id").agg(F.sum("n").alias("n_hit"))
-    items = checked.select("doc_id", "length", "window").distinct().join(of_items, ["length", "window"]).select("doc_id", "item_id").distinct()
-    items = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    out = sizes.join(hit, "doc_id", "left").join(items, "doc_id", "left")
+    before = F.max("end").over(Window.partitionBy(*KEY).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    stretch = places.select(*KEY, F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("n"))
+    hit = stretch.groupBy(*KEY).agg(F.sum("n").alias("n_hit"))
+    items = checked.select(*KEY, "length", "window").distinct().join(of_items, ["length", "window"]).select(*KEY, F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
+    items = items.groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = sizes.join(hit, KEY, "left").join(items, KEY, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

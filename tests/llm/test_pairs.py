@@ -114,6 +114,15 @@ def test_decontamination(spark, monkeypatch, bound):
     assert {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in got.collect()} == brute(list(enumerate(texts)), items)
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(None, item), (None, "clean " * 20), (None, None), (5, item + " more"), (5, "other words only"), (5, item + " more"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item), (None, "clean clean")], "item_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r["items"]) for r in wd.decontaminate(docs, bench).collect())
+    assert got == [(-1, 0, 0, []), (-1, 14, 14, ["1"]), (-1, 20, 20, [""]), (5, 3, 0, []), (5, 15, 14, ["1"]), (5, 15, 14, ["1"]), (6, 0, 0, [])]
+
+
 def test_decontamination_of_empty_tables(spark):
     none, some = frame(spark, ["a"]).limit(0), frame(spark, ["a b", None])
     bench = spark.createDataFrame([], "item_id long, text string")
