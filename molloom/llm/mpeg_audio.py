@@ -3,9 +3,9 @@
 pack() stores any bytes without loss as frames: after header, checksum and side information each frame carries 192
 payload bytes, so it lasts 24 ms exactly; every eighth frame has a higher bitrate, and a first frame holds a
 variable-bitrate table (frame and byte counts, 100 seek points). An ID3v2 tag stands in front with the unpadded size
-and an ID3v1 tag at the end. probe() works on any such stream: it skips tags, finds frame headers again after foreign
-bytes (a header counts if the frame ends at another header, a tag or the end), reads the variable-bitrate table,
-verifies each frame's checksum and gives the exact duration and each frame's offset.
+and an ID3v1 tag at the end. probe() takes any bytes: it parses tags, finds frame headers again after foreign bytes (a header counts if the
+frame ends at another header, a tag or the end), reads variable-bitrate tables and holds their seek points against the
+frames, verifies each frame's checksum and gives the exact duration and each frame's offset.
 
 Null and empty data are packed as one frame of spaces. Equal bytes give equal streams. Streams without a frame have
 zero counts and no payload. Added columns replace columns of their names.
@@ -99,22 +99,71 @@ def header(data: bytes, at: int) -> tuple[int, int, int, int, bool, bool] | None
     return version, kbit, rate, frame_size(version, kbit, rate, data[at + 2] >> 1 & 1), data[at + 3] >> 6 == 3, not data[at + 1] & 1
 
 
+def synchsafe_value(raw: bytes) -> int:
+    return sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0)))
+
+
+def text_frames(body: bytes, version: int) -> dict[str, str]:
+    """User text frames (TXXX) of an ID3v2.3 or v2.4 tag: description to value. Other frames, and broken ones, are passed over."""
+    found, at = {}, 0
+    while at + 10 <= len(body) and body[at : at + 1] != b"\0":
+        raw = body[at + 4 : at + 8]
+        size = synchsafe_value(raw) if version >= 4 else int.from_bytes(raw, "big")
+        content = body[at + 10 : at + 10 + size]
+        if body[at : at + 4] == b"TXXX" and content[:1] in (b"\0", b"\x03"):
+            name, _, value = content[1:].decode("latin-1" if content[0] == 0 else "utf-8", "replace").partition("\0")
+            found[name] = value.split("\0")[0]
+        at += 10 + size
+    return found
+
+
+def bitrate_table(data: bytes, at: int, h: tuple, end: int) -> dict | None:
+    """The table of a first frame: Xing or Info (fields as its flags say), or VBRI; None without one or where it is cut off."""
+    x = at + 4 + 2 * h[5] + SIDE[3 if h[0] == 3 else 2, h[4]]
+    frame = data[: min(at + h[3], end)]
+    if frame[x : x + 4] in (b"Xing", b"Info") and x + 8 <= len(frame):
+        flags, x = int.from_bytes(frame[x + 4 : x + 8], "big"), x + 8
+        out: dict = {"frames": None, "bytes": None, "seek": None}
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "seek", 100)):
+            if flags & bit:
+                if x + size > len(frame):
+                    return None
+                out[name] = frame[x : x + size] if name == "seek" else int.from_bytes(frame[x : x + size], "big")
+                x += size
+        return out
+    v = at + 4 + 32  # always 32 bytes behind the header
+    if frame[v : v + 4] == b"VBRI" and v + 18 <= len(frame):
+        return {"frames": int.from_bytes(frame[v + 14 : v + 18], "big"), "bytes": int.from_bytes(frame[v + 10 : v + 14], "big"), "seek": None}
+    return None
+
+
+def seek_error(table_: dict | None, offsets: np.ndarray, base: int) -> int | None:
+    """The largest distance, in 256ths of the stream, of the table's seek points from the frames' true places; None without points."""
+    if not table_ or table_["seek"] is None or not table_["bytes"] or not len(offsets):
+        return None
+    true = np.minimum(255, (offsets[np.arange(100) * len(offsets) // 100] - base) * 256 // table_["bytes"])
+    return int(np.abs(true - np.frombuffer(table_["seek"], np.uint8).astype(np.int64)).max())
+
+
 def probe(data: bytes) -> dict:
-    """What a stream holds: tags, variable-bitrate table, frames (offsets, sizes, samples), checksums and payload."""
+    """What a stream holds: tags, variable-bitrate table, frames (offsets, sizes, samples), checksums and payload.
+
+    Takes any bytes. Headers count if their frame ends at another header, a tag or the end; what does not is skipped.
+    Each frame that has a checksum is verified by itself. The payload is read from the frames that pack() writes: MPEG-1
+    layer III with a checksum and room for it; streams with other frames have none.
+    """
     at, end, tags, said, skipped = 0, len(data), [], -1, 0
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0)))
-        body = data[at + 10 : at + 10 + size]
-        if b"TXXX" in body and (k := body.find(b"bytes\0")) >= 0:
-            digits = body[k + 6 :].split(b"\0")[0]
-            said = int(digits) if digits.isdigit() else -1
+        size, version, footer = synchsafe_value(data[at + 6 : at + 10]), data[at + 3], data[at + 5] & 0x10
+        digits = text_frames(data[at + 10 : at + 10 + size], version).get("bytes", "")
+        said = int(digits) if digits.isascii() and digits.isdigit() else said
         tags.append("id3v2")
-        at += 10 + size
+        at = min(at + 10 + size + (10 if footer and version >= 4 else 0), end)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         tags.append("id3v1")
         end -= 128
     offsets, kinds, known = [], [], {}
-    table_ = None
+    table_, base = None, at
     while at + 4 <= end:
         # constant parts of a stream have few headers: look each up once
         h = known.get(key := data[at : at + 4], 0)
@@ -128,30 +177,34 @@ def probe(data: bytes) -> dict:
             at = step
             continue
         if table_ is None and not offsets:
-            x = at + 4 + 2 * h[5] + SIDE[3 if h[0] == 3 else 2, h[4]]
-            if data[x : x + 4] in (b"Xing", b"Info"):
-                table_ = struct.unpack(">III", data[x + 4 : x + 16])
-                at += size
+            table_ = bitrate_table(data, at, h, end)
+            if table_ is not None:
+                base, at = at, at + size
                 continue
         offsets.append(at)
         kinds.append(key)
         at += size
-    out = {"tags": tags, "said": said, "table": table_, "skipped": skipped, "offsets": np.array(offsets, np.int64), "checked": 0, "broken": 0, "kbits": {}, "seconds": 0.0, "rate": 0, "payload": b""}
+    skipped += max(end - at, 0)
+    out = {"tags": tags, "said": said, "table": table_, "skipped": skipped, "offsets": np.array(offsets, np.int64), "checked": 0, "broken": 0, "kbits": {}, "seconds": 0.0, "rate": 0, "payload": b"", "seek_error": None}
     if offsets:
         heads = [known[k] for k in kinds]
-        first = heads[0]
         flat, place = np.frombuffer(data, np.uint8), out["offsets"]
-        samples = sum(SAMPLES[h[0]] for h in heads)
-        out["rate"], out["seconds"] = first[2], samples / first[2]
+        out["rate"] = heads[0][2]
+        samples: dict[int, int] = {}
         for h in heads:
+            samples[h[2]] = samples.get(h[2], 0) + SAMPLES[h[0]]
             out["kbits"][h[1]] = out["kbits"].get(h[1], 0) + 1
-        side = SIDE[3 if first[0] == 3 else 2, first[4]]
-        if all(h[5] and h[0] == first[0] and h[4] == first[4] for h in known.values() if h):
-            rows = flat[place[:, None] + np.r_[2:4, 6 : 6 + side]]
-            good = crc16(rows) == (flat[place + 4].astype(np.uint32) << 8 | flat[place + 5])
-            out["checked"], out["broken"] = len(good), int((~good).sum())
-        if all(h[3] >= HEAD + UNIT for h in known.values() if h):
+        out["seconds"] = sum(n / rate for rate, n in samples.items())
+        side = np.array([SIDE[3 if h[0] == 3 else 2, h[4]] if h[5] else 0 for h in heads])
+        for n in set(side.tolist()) - {0}:  # frames with a checksum, by length of what it covers
+            own = place[(side == n) & (place + 6 + side <= len(flat))]
+            rows = flat[own[:, None] + np.r_[2:4, 6 : 6 + n]]
+            good = crc16(rows) == (flat[own + 4].astype(np.uint32) << 8 | flat[own + 5])
+            out["checked"] += len(good)
+            out["broken"] += int((~good).sum())
+        if all(h[0] == 3 and h[4] and h[5] and h[3] >= HEAD + UNIT for h in heads):
             out["payload"] = flat[(place + HEAD)[:, None] + np.arange(UNIT)].tobytes()
+        out["seek_error"] = seek_error(table_, out["offsets"], base)
     return out
 
 
@@ -171,7 +224,7 @@ def encode(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(kept).mapInArrow(run, schema)
 
 
-INFO = "payload binary, duration_s double, sample_rate int, frames int, seek_offsets array<int>, crc_checked int, crc_broken int, skipped_bytes int, tags array<string>, vbr_frames long, kbits array<int>"
+INFO = "payload binary, duration_s double, sample_rate int, frames int, seek_offsets array<int>, crc_checked int, crc_broken int, skipped_bytes int, tags array<string>, vbr_frames long, kbits array<int>, seek_error int"
 
 
 def features(df: DataFrame, media: str = "media") -> DataFrame:
@@ -190,7 +243,7 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
                 raw, found = data.tobytes(), []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     x = probe(raw[a:b])
-                    found.append((x["payload"], x["seconds"], x["rate"], len(x["offsets"]), x["offsets"].astype(np.int32), x["checked"], x["broken"], x["skipped"], x["tags"], x["table"][1] if x["table"] else None, sorted(x["kbits"])))
+                    found.append((x["payload"], x["seconds"], x["rate"], len(x["offsets"]), x["offsets"].astype(np.int32), x["checked"], x["broken"], x["skipped"], x["tags"], x["table"]["frames"] if x["table"] else None, sorted(x["kbits"]), x["seek_error"]))
                 columns = [pa.array(list(c), f.type) for c, f in zip(zip(*found), kind)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.StructArray.from_arrays(columns, fields=list(kind))], names=schema.names)
 

@@ -109,6 +109,7 @@ def test_audio_round_trip(spark):
         assert r.n_bytes == len(raw) and bytes(r.info.payload) == want
         n = len(want) // 192
         assert (r.info.frames, r.info.vbr_frames, r.info.crc_checked, r.info.crc_broken, r.info.skipped_bytes) == (n, n, n, 0, 0)
+        assert r.info.seek_error == 0
         assert r.info.duration_s == pytest.approx(n * 0.024) and len(r.info.seek_offsets) == n
 
 
@@ -122,3 +123,58 @@ def test_audio_faults():
     for odd in (b"", b"ID3", b"\xff" * 50, b"TAG" + bytes(125), bytes(10)):
         assert len(mpeg_audio.probe(odd)["offsets"]) == 0
     assert hashlib.sha256(mpeg_audio.pack(b"a")).digest() == hashlib.sha256(mpeg_audio.pack(b"a")).digest()
+
+
+def plain_frame(first=0xFB, kbits=9, fill=0):
+    """A 44.1 kHz stereo frame without (0xFB) or with (0xFA) checksum."""
+    size = 144 * mpeg_audio.KBITS[3][kbits] * 1000 // 44100
+    return bytes([0xFF, first, kbits << 4, 0]) + bytes([fill]) * (size - 4)
+
+
+def test_audio_tables():
+    frames = plain_frame() * 5
+    quality_only = bytearray(plain_frame())
+    quality_only[36:48] = b"Xing" + struct.pack(">II", 8, 77)
+    got = mpeg_audio.probe(bytes(quality_only) + frames)
+    assert got["table"] == {"frames": None, "bytes": None, "seek": None} and len(got["offsets"]) == 5
+    vbri = bytearray(plain_frame())
+    vbri[36:54] = b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 4321, 5)
+    got = mpeg_audio.probe(bytes(vbri) + frames)
+    assert (got["table"]["frames"], got["table"]["bytes"], len(got["offsets"])) == (5, 4321, 5)
+    cut = bytes([0xFF, 0xFB, 1 << 4, 0xC0]) + bytes(17) + b"Xing"
+    assert len(mpeg_audio.probe(cut)["offsets"]) == 0
+    footed = b"ID3\x04\0\x10" + mpeg_audio.synchsafe(0) + b"3DI\x04\0\x10" + mpeg_audio.synchsafe(0) + frames
+    assert mpeg_audio.probe(footed)["skipped"] == 0 and len(mpeg_audio.probe(footed)["offsets"]) == 5
+    moved = bytearray(mpeg_audio.pack(b"word " * 4000))
+    at = moved.index(b"Xing") + 16
+    moved[at + 50] ^= 0x40
+    assert mpeg_audio.probe(bytes(moved))["seek_error"] == 64
+
+
+def test_audio_checksums_frame_by_frame():
+    """One frame without a checksum, or a false header in junk, does not turn off the others' verification."""
+    good = mpeg_audio.pack(b"word " * 300)
+    offsets = mpeg_audio.probe(good)["offsets"].tolist()
+    mixed = good[: offsets[3]] + plain_frame() + good[offsets[3] :]
+    assert mpeg_audio.probe(mixed)["checked"] == len(offsets) and mpeg_audio.probe(mixed)["broken"] == 0
+    junk = good[: offsets[3]] + b"\xff\xfb\x90\x00junk" + good[offsets[3] :]
+    assert mpeg_audio.probe(junk)["checked"] >= len(offsets) - 1
+    broken = bytearray(mixed)
+    broken[offsets[1] + 8] ^= 1
+    assert mpeg_audio.probe(bytes(broken))["broken"] == 1
+
+
+def test_audio_of_any_bytes():
+    import random
+
+    r = random.Random(6)
+    good = mpeg_audio.pack(b"text " * 200)
+    for k in range(400):
+        data = bytearray(good if k % 2 else r.randbytes(r.randint(0, 900)))
+        for _ in range(r.randint(0, 12)):
+            if data:
+                at = r.randrange(len(data))
+                data[at : at + r.randint(0, 3)] = r.choice([b"\xff\xfb", b"ID3\x03", b"Xing", b"VBRI", r.randbytes(2), b""])
+        data = bytes(data[: r.randint(0, len(data))])
+        got = mpeg_audio.probe(data)
+        assert got["broken"] <= got["checked"] <= len(got["offsets"]) and 0 <= got["skipped"] <= len(data)
