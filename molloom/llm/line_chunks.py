@@ -98,6 +98,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = stored(mapped(docs, _chunk_rows, f"doc_id {kind}, place int, chunk long"))
     spot = F.struct("doc_id", "place")
     first = rows.groupBy("chunk").agg(F.min(spot).alias("keep"), F.max(spot).alias("last")).where("keep <> last").select(F.col("chunk").alias("of_chunk"), "keep")
+    first = stored(first)  # both sides of the join are shuffled for it, so a chunk of very many rows can be split
     # keep_place: -1 at the first occurrence, its place where it lies in the same document, -2 elsewhere
     place = F.when(F.col("doc_id") != F.col("keep.doc_id"), -2).when(F.col("place") == F.col("keep.place"), -1).otherwise(F.col("keep.place"))
     found = rows.join(first, F.col("chunk") == F.col("of_chunk")).select("doc_id", F.struct("place", "chunk", place.alias("keep_place")).alias("one"))
@@ -105,6 +106,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     texts = docs.join(asked, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "asked")
     bodies = stored(mapped(texts, _bodies, f"doc_id {kind}, place int, chunk long, keep_place int, body binary"))
     keepers = bodies.where("keep_place = -1").groupBy("chunk").agg(F.first("body").alias("kept_body")).withColumnRenamed("chunk", "kept_chunk")
+    keepers = stored(keepers)
     same = bodies.where("keep_place <> -1").join(keepers, F.col("chunk") == F.col("kept_chunk")).where("body = kept_body")
     # of a chunk that overlaps its first occurrence, only the lines behind that go
     begin = F.when(F.col("keep_place") >= 0, F.greatest("place", F.col("keep_place") + WINDOW)).otherwise(F.col("place"))

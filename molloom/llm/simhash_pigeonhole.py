@@ -300,6 +300,7 @@ def groups(df: DataFrame, text: str = "text", partitions: int | None = None, hot
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = named.select("node", "root").join(least, "root").select("node", "component")
     full = nodes.join(of_node, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "least").alias("component_id"))
+    full = stored(full)  # so that the rows of a fingerprint with very many copies can be split in the join
     return prints.join(full, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
