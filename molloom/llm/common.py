@@ -37,8 +37,8 @@ def reuse_memory() -> None:
     """Let a worker's large arrays reuse freed memory instead of asking the system for each; release() still gives it back."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD: larger arrays still go back at once
+        libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library
         pass
 
