@@ -57,3 +57,18 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").limit(0).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns named like the operators' own keep their values through every stage but the last."""
+    rows, items = made_docs()
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    names = ["SCORE", "lang_pred", "N_lines", "n_removed_lines", "node", "bands", "component_id", "k1", "k2", "w", "n_words", "start", "fp"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"concat('{n}', doc_id) AS {n}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
