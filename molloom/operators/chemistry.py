@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molloom.chem import molecule
+from molloom.operators.filters import FAILED
 
 PROPERTIES = "AMW double, ExactMW double, HAC int, HBD int, HBA int, RBs int, SP3 double, rings int, fragments int"
-#: Marks of failed rows, which have no molecule.
-FAILED = ("FAIL", "ENUMERATION_FAIL", "NOSCHEMEFAIL")
 
 
 def readable(smiles: Column) -> Column:

@@ -69,6 +69,11 @@ def sample_product(blocks: DataFrame, cycles: list[str], n: int, step: int = 791
     return rows.select("sample_id", *(f"bb_{k}" for k in range(1, len(cycles) + 1)))
 
 
+def constant_side(df: DataFrame, slot: int, constants: list[str | None]) -> DataFrame:
+    """Every row's reactants r0, r1, ...: its bb_id in one slot, constants in the others."""
+    return df.select("*", *(F.col("bb_id").alias(f"r{k}") if k == slot else F.lit(c).cast("string").alias(f"r{k}") for k, c in enumerate(constants)))
+
+
 def partner_sample(static: DataFrame, partners: DataFrame, size: int) -> DataFrame:
     """Each static block beside the same size partner tuples: those with the least hash of their columns."""
     picked = partners.withColumn("__h", F.xxhash64(*partners.columns)).orderBy("__h", *partners.columns).limit(size).drop("__h")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Keys of the bounds and the order in which they are tried.
 #: The order in which bounds are tried, as (statistic, key of the bound, property, upper bound or not).
 BOUNDS = [
     ("MW", "MW_high", "mw", True), ("MW", "MW_low", "mw", False), ("tPSA", "tPSA", "tpsa", True), ("logP", "logP_high", "logp", True), ("logP", "logP_low", "logp", False),
@@ -14,6 +15,10 @@ BOUNDS = [
 ]
 
 
+# Marks of failed rows, which have no molecule.
+FAILED = ("FAIL", "ENUMERATION_FAIL", "NOSCHEMEFAIL")
+
+
 def first_failure(limits: dict[str, float], columns: dict[str, str]) -> Column:
     """The statistic of the first bound that a row breaks, null if it keeps all. columns: property to column name.
 
@@ -48,6 +53,28 @@ def pattern_groups(text: Column, include: list[str | list[str]], exclude: list[s
     return reduce(Column.__and__, [*wanted, *(~text.rlike(p) for p in exclude)], F.lit(True))
 
 
+def named_lists(df: DataFrame, text: str, specs: dict[str, dict[str, list]], names: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """The rows of each named list: one row for each list whose patterns a row meets, with its name as list.
+
+    specs: of each list its include items (a nested list: any one) and exclude items. names: the files that a list is
+    known under, if not its own name; a list with several names comes once for each. All lists are tried in one scan.
+    """
+    member = []
+    for key, spec in specs.items():
+        own = (names or {}).get(key, key)
+        member += [F.when(pattern_groups(F.col(text), spec.get("include", []), spec.get("exclude", [])), n) for n in ([own] if isinstance(own, str) else own)]
+    return df.select("*", F.explode(F.filter(F.array(*member), lambda x: x.isNotNull())).alias("list"))
+
+
+def criteria_of(scheme: dict, cycle: str, field: str = "filters"):
+    """A cycle's criteria in a scheme: those under its own name, else those of the list that is known under it, else None."""
+    own = scheme.get(field)
+    if own is None or cycle in own:
+        return own and own[cycle]
+    key = next((k for k, v in own.get("names", {}).items() if cycle == v or isinstance(v, list) and cycle in v), None)
+    return None if key is None else own["BB_filters"][key]
+
+
 def removed(failure: Column, pattern: Column, ambiguous: Column | None = None, keep: bool = False) -> Column:
     """Whether a row is removed: it fails the properties, holds a pattern or is ambiguous; with keep, unless all of these hold.
 
@@ -64,5 +91,5 @@ def exclude_ids(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
 
-def drop_failures(df: DataFrame, column: str, marks: tuple[str, ...] = ("FAIL", "ENUMERATION_FAIL", "NOSCHEMEFAIL")) -> DataFrame:
+def drop_failures(df: DataFrame, column: str, marks: tuple[str, ...] = FAILED) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(*marks))

@@ -33,6 +33,12 @@ def top_k(scored: DataFrame, query: str, score: str, ties: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def top_k_but(scored: DataFrame, excluded: DataFrame, query: str, score: str, row: str, k: int) -> DataFrame:
+    """The k best rows of each query that are not excluded (by row), with all their columns: exclusion comes before the ranks."""
+    gone = excluded.select(F.col(row).alias("__gone")).distinct()
+    return top_k(scored.join(gone, F.col(row) == F.col("__gone"), "left_anti"), query, score, row, k)
+
+
 def probe_report(scored: DataFrame, row: str, probe: str, score: str, cutoff: float) -> DataFrame:
     """Rows with a score above cutoff for some probe: number and list of probes, the best probe (the first of equals) and its score."""
     hits = scored.where(F.col(score) > cutoff)

@@ -61,6 +61,10 @@ SELECT label, arg_min(vec_id, (d, vec_id)) medoid FROM d GROUP BY label""",
     "kept_and_removed": f"SELECT p_partkey, {FAIL} IS NOT NULL OR regexp_matches(p_name, 'e$|^a|1') removed, {FAIL} first_fail, CASE WHEN p_name LIKE '%e' THEN 0 WHEN p_name LIKE 'a%' THEN 1 WHEN p_name LIKE '%1%' THEN 2 END pattern FROM part",
     "substructure_counts": "SELECT CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 0 WHEN text LIKE '%!!%' THEN 1 WHEN text LIKE '%the%' THEN 2 WHEN text LIKE '%que%' THEN 3 END pattern, count(*) n FROM documents GROUP BY 1",
     "pattern_groups": "SELECT doc_id, lang FROM documents WHERE (text LIKE '%the%' OR text LIKE '%que%') AND text LIKE '%an%' AND NOT regexp_matches(text, '[0-9]') AND text NOT LIKE '%!!%'",
+    "named_block_lists": """WITH l AS (SELECT unnest(CASE WHEN regexp_matches(p_name, 'o|a') AND p_name LIKE '%e%' AND p_name NOT LIKE 's%' THEN ['BB1', 'BB2'] ELSE [] END) list, p_partkey FROM part
+UNION ALL SELECT 'BB3', p_partkey FROM part WHERE NOT regexp_matches(p_name, '[aeiou]{2}') AND p_name NOT LIKE '%x%')
+SELECT list, count(*) n, min(p_partkey) first_part FROM l GROUP BY list""",
+    "nearest_but_excluded": f"WITH {PAIRS} SELECT q, vec_id, label, score, rank FROM (SELECT q, vec_id, label, round(t, 6) score, row_number() OVER (PARTITION BY q ORDER BY round(t, 6) DESC, vec_id) rank FROM p WHERE vec_id % 3 <> 0) WHERE rank <= 3",
     "mass_cutoff": "SELECT p_partkey, p_brand FROM part WHERE p_retailprice <= 960 AND p_type IS NOT NULL AND p_type NOT IN ('FAIL', 'ENUMERATION_FAIL', 'NOSCHEMEFAIL') AND p_brand IN (SELECT p_brand FROM part WHERE p_size > 45)",
     "exclusion_list": "SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)",
     "library_size": f"WITH {BLOCKS} SELECT product(n)::BIGINT n_products FROM (SELECT cycle, count(*) n FROM b GROUP BY cycle)",

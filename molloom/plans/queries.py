@@ -190,11 +190,27 @@ def substructure_counts(spark, sf):
 
 @query
 def pattern_groups(spark, sf):
-    """documents that hold one of two words and a third and none of the excluded."""
+    """documents that hold one of two words and a third and none of the excluded."""
     keep = filters.pattern_groups(F.col("text"), [["the", "que"], "an"], ["[0-9]", "!!"])
     return read(spark, sf, "documents").where(keep).select("doc_id", "lang")
 
 
+@query
+def named_block_lists(spark, sf):
+    """Parts by the named lists whose patterns they meet; one list has two names."""
+    specs = {"round": {"include": [["o", "a"], "e"], "exclude": ["^s"]}, "plain": {"exclude": ["[aeiou]{2}", "x"]}, "none": {"include": ["qqq"]}}
+    out = filters.named_lists(read(spark, sf, "part"), "p_name", specs, {"round": ["BB1", "BB2"], "plain": "BB3"})
+    return out.groupBy("list").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query
+def nearest_but_excluded(spark, sf):
+    """The three most similar vectors of each query that are not on the list of excluded ones, with their label."""
+    s = scored(spark, sf).withColumn("score", F.round("t", 6))
+    gone = read(spark, sf, "embeddings").where("vec_id % 3 = 0").select("vec_id")
+    return similarity.top_k_but(s, gone, "q", "score", "vec_id", 3).select("q", "vec_id", "label", "score", "rank")
+
+
 @query
 def mass_cutoff(spark, sf):
     """Parts up to a price, of listed brands and with a type."""
@@ -225,7 +241,7 @@ def library_size(spark, sf):
 
 @query
 def cycle_sizes(spark, sf):
-    """The cycles with their sizes."""
+    """A4: the cycles with their sizes."""
     return blocks(spark, sf).groupBy("cycle").agg(F.count("*").alias("n")).orderBy("cycle")
 
 
@@ -317,7 +333,7 @@ def status_split(spark, sf):
 
 @query
 def deprotection_variants(spark, sf):
-    """The first and last variant of each turn."""
+    """The first and last variant of each turn, its words standing for variants."""
     c = read(spark, sf, "conversations")
     return en.variants(c, F.split(F.coalesce("text", F.lit("")), " "), first_and_last=True).select("conv_id", "turn", "n", "variant")
 
@@ -367,14 +383,14 @@ def colored_union(spark, sf):
 
 @query
 def kmeans_clusters(spark, sf):
-    """Sizes of 8 clusters of vectors."""
+    """Sizes of 8 clusters of vectors."""
     out = profile.kmeans(read(spark, sf, "embeddings"), "embedding", 8)
     return out.groupBy("clustnum").agg(F.count("*").alias("n"))
 
 
 @query
 def chemical_space(spark, sf):
-    """Vectors in two principal components."""
+    """Vectors in two principal components."""
     return profile.embed(read(spark, sf, "embeddings"), "embedding").select("vec_id", "x", "y")
 
 

@@ -79,3 +79,22 @@ def properties(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def write_split(df: DataFrame, path: str, flag: Column, name: str = "status") -> None:
     """CSV files in one folder for each value of the flag."""
     df.withColumn(name, flag).write.partitionBy(name).option("header", True).csv(path)
+
+
+def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Adds rows to a folder of CSV files; each file has the header once, and those that are there stay as they are."""
+    df.write.mode("append").option("header", True).option("sep", sep).csv(path)
+
+
+def export_lists(df: DataFrame, path: str, name: str = "list", key: str = "bb_id") -> None:
+    """CSV files in one folder for each list, each id of a list once (its least row by the other columns)."""
+    rest = [c for c in df.columns if c not in (name, key)]
+    once = df.groupBy(name, key).agg(F.min(F.struct(*rest)).alias("__r")) if rest else df.distinct()
+    once = once.select(name, key, *(F.col("__r")[c].alias(c) for c in rest)) if rest else once
+    once.repartition(name, F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy(name).option("header", True).csv(path)
+
+
+def read_patterns(spark: SparkSession, path: str, column: str = "SMILES") -> list[str]:
+    """The patterns of a filter list (a CSV file with a header), in file order, each once; they become one expression."""
+    rows = spark.read.option("header", True).csv(path).select(F.col(column).alias("p"), F.expr(PLACE).alias("__place")).where("p IS NOT NULL")
+    return [r[0] for r in rows.groupBy("p").agg(F.min("__place").alias("at")).orderBy("at").select("p").collect()]

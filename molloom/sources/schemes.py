@@ -33,3 +33,38 @@ def load_reaction_table(toml_text: str) -> list[tuple[str, str, str]]:
 def parameters(given: dict, file: dict | None, defaults: dict) -> dict:
     """Given values win over the file's, and these over the defaults, which count only beside a file."""
     return ((defaults | file) if file is not None else {}) | {k: v for k, v in given.items() if v is not None}
+
+
+def parameter_file(text: str) -> dict:
+    """`key: value` lines of a parameter file, without nesting: numbers, true and false, quoted or plain text; # starts a note."""
+    out: dict = {}
+    for line in text.splitlines():
+        key, colon, value = line.split("#")[0].partition(":")
+        if colon and key.strip():
+            value = value.strip().strip("'\"")
+            try:
+                out[key.strip()] = json.loads(value.lower() if value.lower() in ("true", "false", "null") else value)
+            except json.JSONDecodeError:
+                out[key.strip()] = value or None
+    return out
+
+
+def import_scheme(name: str, toml_text: str) -> dict:
+    """A scheme of the TOML dialect in the JSON form: {Named_Reactions, name: {steps}}.
+
+    Reactant bbN becomes r(N - 1); others become CN in the first step and p later; a step has two reactants, None if one
+    is missing. What a step defines besides reactants and reactions is a named reaction; a name that is taken gets a number.
+    """
+    named, steps = {}, []
+    for step in tomllib.loads(toml_text)["reactions"].values():
+        reactions = list(step["reactions"])
+        for key, value in step.items():
+            if key in ("reactants", "reactions"):
+                continue
+            free = next(k for k in [key, *(f"{key}_{i}" for i in range(1, len(named) + 2))] if k not in named)
+            named[free] = value
+            reactions = [free if r == key else r for r in reactions]
+        other = "p" if steps else "CN"
+        reactants = [f"r{int(r[2:]) - 1}" if r[:2] == "bb" and r[2:].isdigit() else other for r in step["reactants"]]
+        steps.append({"Reactants": reactants + ["None"] * (2 - len(reactants)), "Rxns": {"default": reactions}})
+    return {"Named_Reactions": named, name: {"steps": steps}}

@@ -194,3 +194,50 @@ def test_stream(spark, tmp_path):
     q = stream.run(spark, f"file://{tmp_path}/in", "id long, m double", lambda d: d.where(filters.first_failure({"MW_high": 400}, {"mw": "m"}).isNull()), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.awaitTermination()
     assert [r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [2]
+
+
+def test_named_lists_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("1", "acid amine"), ("2", "amine"), ("2", "amide"), ("3", None), ("4", "acid salt")], "bb_id string, smiles string")
+    specs = {"acids": {"include": ["acid"], "exclude": ["salt"]}, "amines": {"include": [["amine", "amide"]]}}
+    lists = filters.named_lists(df, "smiles", specs, {"acids": ["L.BB1", "L.BB3"], "amines": "L.BB2"})
+    compounds.export_lists(lists, f"file://{tmp_path}/lists")
+    back = spark.read.option("header", True).csv(f"file://{tmp_path}/lists")
+    assert sorted((r.list, r.bb_id, r.smiles) for r in back.collect()) == [("L.BB1", "1", "acid amine"), ("L.BB2", "1", "acid amine"), ("L.BB2", "2", "amide"), ("L.BB3", "1", "acid amine")]
+    scheme = {"filters": {"BB2": 5, "names": {"acids": "BB1", "more": ["BB3", "BB4"]}, "BB_filters": {"acids": 7, "more": 8}}}
+    assert [filters.criteria_of(scheme, c) for c in ("BB1", "BB2", "BB4", "BB9")] == [7, 5, 8, None] and filters.criteria_of({}, "BB1") is None
+
+
+def test_sinks_and_lists(spark, tmp_path):
+    df = spark.createDataFrame([("1", "C"), ("2", "N")], "bb_id string, smiles string")
+    for part in (df.limit(1), df.subtract(df.limit(1))):
+        compounds.append_csv(part.coalesce(1), f"file://{tmp_path}/out")
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/out").collect()) == [("1", "C"), ("2", "N")]
+    compounds.write_split(df, f"file://{tmp_path}/split", F.when(F.col("bb_id") == "1", "pass").otherwise("fail"))
+    assert {r.status: str(r.bb_id) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/split").collect()} == {"pass": "1", "fail": "2"}
+    (tmp_path / "f.csv").write_text("SMILES\n[Br]\nC#N\n[Br]\n")
+    assert compounds.read_patterns(spark, f"file://{tmp_path}/f.csv") == ["[Br]", "C#N"]
+    got = en.constant_side(df, 1, ["CN", None, None]).where("bb_id = '2'").first()
+    assert (got.r0, got.r1, got.r2) == ("CN", "2", None)
+
+
+def test_scheme_dialect_and_parameters():
+    text = """
+[reactions.a]
+reactants = ["bb1", "bb2"]
+reactions = ["amide"]
+amide = "x>>y"
+[reactions.b]
+reactants = ["product"]
+reactions = ["amide", "known"]
+amide = "z>>w"
+"""
+    got = schemes.import_scheme("L", text)
+    assert got["Named_Reactions"] == {"amide": "x>>y", "amide_1": "z>>w"}
+    assert got["L"]["steps"] == [{"Reactants": ["r0", "r1"], "Rxns": {"default": ["amide"]}}, {"Reactants": ["p", "None"], "Rxns": {"default": ["amide_1", "known"]}}]
+    assert schemes.parameter_file("scheme: L  # name\nnumstrux: 50\nremovedups: False\nspec:\nname: 'a b'\n") == {"scheme": "L", "numstrux": 50, "removedups": False, "spec": None, "name": "a b"}
+
+
+def test_top_k_without_excluded(spark):
+    df = spark.createDataFrame([(1, k, 1.0 - k / 10, f"x{k}") for k in range(6)], "q int, row int, score double, more string")
+    got = [(r.row, r.rank, r.more) for r in similarity.top_k_but(df, df.where("row < 2"), "q", "score", "row", 2).orderBy("rank").collect()]
+    assert got == [(2, 1, "x2"), (3, 2, "x3")]
