@@ -3,7 +3,9 @@
 Every window of LENGTH bytes has an anchor: its least GRAM-gram by hash, the first of equals. Equal windows have equal
 anchors at the same offset, so only windows whose anchor's gram occurs more than once can repeat; Spark counts the
 grams. A document's consecutive windows of one repeated anchor form a block (the text that they cover). Blocks are
-dealt by anchor gram, equal blocks of a slice once, packed by destination. Each task sorts the window suffixes of its
+dealt by anchor gram, equal blocks of a slice once, packed by destination. A gram that occurs more than HOT times has a
+block for each window, dealt by a hash of the whole window, so that a passage in very many different texts is spread
+over as many tasks as it has windows, each with one distinct text. Parts grow with the counted blocks. Each task sorts the window suffixes of its
 distinct blocks by suffix_sort (multikey sort to a shallow depth, blind tries beyond); neighbours with a common prefix
 of LENGTH bytes are repeats. The bytes that repeated windows cover are removed.
 
@@ -27,6 +29,8 @@ from .suffix_sort import suffix_order
 
 LENGTH, GRAM = 200, 64
 SLICE = 1 << 20
+#: Occurrences of a gram beyond which its windows are dealt one by one, and repeated blocks of a part.
+HOT, PART_BLOCKS = 50_000, 200_000
 #: Longer texts are cut into pieces of windows.
 PIECE = 8 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -60,6 +64,24 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, (key & PLACE).astype(np.int64)
 
 
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of the LENGTH bytes from each place on, of the gram hashes that cover them."""
+    n = len(h) - (LENGTH - GRAM)
+    out = np.zeros(n, np.uint64)
+    for at in (*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM):
+        out = (out ^ h[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def single_windows(runs: np.ndarray, gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, first window, last window, document) where each marked run became its windows, with their hashes for grams."""
+    n = np.where(runs, hi - lo + 1, 1)
+    start = ranges(lo, n)
+    one = np.repeat(runs, n)
+    return np.where(one, hashes[np.minimum(start, len(hashes) - 1)], np.repeat(gram, n)), start, np.where(one, start, np.repeat(hi, n)), np.repeat(doc, n)
+
+
 def anchored(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of documents: (first document, base, gram hash, first window, last window, document) of each anchor's run of windows.
 
@@ -112,7 +134,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.Recor
     """Batches with the packed texts as bytes, in slices of bounded size."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for i, j in slices(utf8(batch.column(where))[0], SLICE):
+        size = [zstandard.frame_content_size(t) for t in batch.column(where).to_pylist()]
+        for i, j in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), SLICE):
             part = batch.slice(i, j - i)
             columns = list(part.columns)
             columns[where] = pa.array([unpack(t) for t in columns[where].to_pylist()], pa.binary())
@@ -137,15 +160,16 @@ def _blocks(parts: int):
         for batch in unpacked(batches, 1):
             offsets, data = utf8(batch.column(1))
             key = batch.column(0).to_numpy()
-            lists = batch.column(2)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            listed = [(lists.offsets.to_numpy(), lists.values.to_numpy()) for lists in (batch.column(2), batch.column(3))]
             for i, base, gram, lo, hi, doc in anchored(offsets, data):
                 # a run belongs to a repeated anchor if its document lists the gram
-                a, b = at[doc.min()], at[doc.max() + 1]
-                repeated = np.isin(gram, flat[a:b])
-                gram, lo, hi, doc = gram[repeated], lo[repeated], hi[repeated], doc[repeated]
+                repeated, hot = (np.isin(gram, flat[at[doc.min()] : at[doc.max() + 1]]) for at, flat in listed)
+                gram, lo, hi, doc, hot = gram[repeated], lo[repeated], hi[repeated], doc[repeated], hot[repeated]
                 if not len(gram):
                     continue
+                if hot.any():
+                    own_hashes = window_hashes(gram_hashes(data[base : base + int(hi.max()) + LENGTH]))
+                    gram, lo, hi, doc = single_windows(hot, gram, lo, hi, doc, own_hashes)
                 raw = data[base : base + int(hi.max()) + LENGTH].tobytes()
                 seen: dict[tuple[int, bytes], int] = {}
                 texts = [raw[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]
@@ -236,12 +260,14 @@ def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs (row_key long, text): (row_key, spans array<struct<start, stop>>), the byte ranges that repeated windows cover."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     grams = stored(docs.select("row_key", "text").mapInArrow(_grams, "row_key long, gram long"))
     # stored, so that Spark can split a gram with very many rows in the join
-    often = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("often")))
-    lists = grams.join(often, F.col("gram") == F.col("often")).groupBy("row_key").agg(F.collect_set("gram").alias("grams")).withColumnRenamed("row_key", "list_key")
-    rows = packed_texts(docs.select("row_key", "text")).join(lists, F.col("row_key") == F.col("list_key")).select("row_key", "text", "grams")
+    often = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("gram", "often"))
+    blocks = often.agg(F.sum(F.when(F.col("n") > HOT, F.col("n") * (LENGTH - GRAM + 1)).otherwise(F.col("n")))).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // PART_BLOCKS))
+    hot = F.collect_set(F.when(F.col("n") > HOT, F.col("gram")))
+    lists = grams.join(often, F.col("gram") == F.col("often")).groupBy("row_key").agg(F.collect_set("gram").alias("grams"), hot.alias("hot")).withColumnRenamed("row_key", "list_key")
+    rows = packed_texts(docs.select("row_key", "text")).join(lists, F.col("row_key") == F.col("list_key")).select("row_key", "text", "grams", "hot")
     packed = rows.mapInArrow(_blocks(parts), PACKED)
     spans = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_parts, "row_key long, start long, stop long")
     return spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

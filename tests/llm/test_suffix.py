@@ -48,6 +48,28 @@ def test_equals_brute_force(spark, monkeypatch, piece):
         assert r.n_bytes == len((texts[r.doc_id] or "").encode())
 
 
+@pytest.mark.parametrize("hot", [3, 20])
+def test_windows_of_hot_grams(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)  # read on the driver alone
+    monkeypatch.setattr(sd, "PART_BLOCKS", 40)
+    texts = planted(5)
+    want = sd.brute_force([(t or "").encode() for t in texts])
+    for r in sd.dedup(frame(spark, texts)).collect():
+        assert (r.n_removed, r.n_spans) == want[r.doc_id][:2], repr(texts[r.doc_id])[:80]
+
+
+def test_window_hashes_of_single_windows():
+    data = np.frombuffer(random.Random(4).randbytes(300) * 2, np.uint8)
+    hashes = sd.window_hashes(sd.gram_hashes(data))
+    assert len(hashes) == len(data) - sd.LENGTH + 1
+    for a in range(0, len(hashes), 7):
+        for b in range(0, len(hashes), 5):
+            assert (hashes[a] == hashes[b]) == (bytes(data[a : a + sd.LENGTH]) == bytes(data[b : b + sd.LENGTH]))
+    gram, lo, hi, doc = sd.single_windows(np.array([False, True]), np.array([7, 8]), np.array([0, 50]), np.array([9, 52]), np.array([0, 1]), hashes)
+    assert lo.tolist() == [0, 50, 51, 52] and hi.tolist() == [9, 50, 51, 52] and doc.tolist() == [0, 1, 1, 1]
+    assert gram.tolist() == [7, *hashes[50:53].tolist()]
+
+
 def test_pieces_cover_every_window(monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 500)
     data = np.frombuffer(random.Random(3).randbytes(4000), np.uint8)
