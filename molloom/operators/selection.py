@@ -48,6 +48,89 @@ def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = N
     return out.select("row", F.col("o")["rank"].alias("rank"), "chosen", "group", reason.alias("reason"))
 
 
+def diverse_walk(rows: DataFrame, links: DataFrame, cap: int | None = None, max_sim: int = 0, max_scaff: int = 0, n_chosen: int | None = None, limit=None) -> DataFrame:
+    """The ordered walk with all rules, as rounds of joins. rows (row, rank, blocks array, failed boolean), row unique; links
+    (a, b, kind): 'sim', 'hard' (similar beyond the hard cutoff, a 'sim' too) or 'scaff' (scaffolds alike, texts not).
+
+    In the order of rank (then row) a row is chosen unless its structure failed ('failed'), one of its blocks was used by
+    cap chosen rows ('bbusage'), it has a hard link or max_sim similar ones to chosen rows ('sim'), or max_scaff scaffold
+    links ('scaff'); a maximum of 0 counts as 1. Chosen rows with a similar one before them take its group, others found
+    one; rows rejected for links take the group of the last link that rejects them, -1 stands for none. The walk ends
+    after n_chosen + 1 choices and at the first rank beyond limit; what comes later is 'Unknown'.
+
+    A round decides all rows that no undecided better row can change: the cap-th chosen row of a block closes it, rows up
+    to its cap-th row that is chosen or undecided are free of the cap. The best undecided row is always decided.
+    """
+    sims, scaffs = max(1, max_sim), max(1, max_scaff)
+    order = kept(rows.select("row", F.struct("rank", "row").alias("o"), F.coalesce("blocks", F.array()).alias("blocks"), F.coalesce("failed", F.lit(False)).alias("failed")))
+    within = order if limit is None else order.where(F.col("o")["rank"] <= limit)
+    walked = within.where(~F.col("failed"))
+    ends = links.select("a", "b", "kind").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+    ends = ends.groupBy("a", "b").agg(F.max(F.col("kind") == "hard").alias("hard"), F.max(F.col("kind") != "scaff").alias("sim"))
+    place = walked.select("row", "o")
+    edges = kept(ends.join(place.toDF("a", "oa"), "a").join(place.toDF("b", "ob"), "b").where("oa < ob").select(F.col("a").alias("better"), "oa", F.col("b").alias("worse"), "hard", "sim"))
+    uses = kept(walked.select("row", "o", F.explode("blocks").alias("block")))
+
+    def closing(some: DataFrame, name: str) -> DataFrame:
+        """The place of each block's cap-th use."""
+        used = uses.join(some.select("row"), "row", "left_semi")
+        w = Window.partitionBy("block").orderBy("o")
+        return used.withColumn("n", F.row_number().over(w)).where((F.col("n") <= cap) & (F.col("n") == cap)).select(F.col("block").alias(f"of_{name}"), F.col("o").alias(name))
+
+    chosen = kept(place.limit(0).select("row"))
+    left = kept(place)
+    while left.limit(1).count():
+        of_chosen = edges.join(chosen.toDF("better"), "better", "left_semi").groupBy("worse").agg(F.max("hard").alias("hard"), F.sum(F.col("sim").cast("int")).alias("n_sim"), F.sum((~F.col("sim")).cast("int")).alias("n_scaff"))
+        out = of_chosen.where(F.col("hard") | (F.col("n_sim") >= sims) | (F.col("n_scaff") >= scaffs)).select(F.col("worse").alias("row"))
+        open_ = edges.join(left.select(F.col("row").alias("better")), "better", "left_semi").select(F.col("worse").alias("row"))
+        if cap is not None:
+            own = uses.join(left.select("row"), "row", "left_semi").select("row", "o", "block")
+            full = own.join(closing(chosen, "full"), F.col("block") == F.col("of_full")).where(F.col("o") > F.col("full")).select("row")
+            out = out.unionByName(full)
+            unsure = own.join(closing(chosen.unionByName(left.select("row")), "sure"), F.col("block") == F.col("of_sure")).where(F.col("o") > F.col("sure")).select("row")
+            open_ = open_.unionByName(unsure)
+        rest = kept(left.join(out.distinct(), "row", "left_anti"))
+        now = kept(rest.join(open_.distinct(), "row", "left_anti").select("row"))
+        chosen = kept(chosen.unionByName(now))
+        left = kept(rest.join(now, "row", "left_anti"))
+
+    order_of = place.join(chosen, "row")
+    # the chosen row whose group a row takes: of similar ones the last; of scaffold links those from the scaffs-th on
+    held = edges.join(chosen.toDF("better"), "better", "left_semi")
+    nth = F.sum((~F.col("sim")).cast("int")).over(Window.partitionBy("worse").orderBy("oa").rowsBetween(Window.unboundedPreceding, 0))
+    nth_sim = F.sum(F.col("sim").cast("int")).over(Window.partitionBy("worse").orderBy("oa").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.select("worse", "better", "oa", "sim", (F.col("sim") & ((nth_sim >= sims) | F.col("hard"))).alias("by_sim"), (~F.col("sim") & (nth >= scaffs)).alias("by_scaff"))
+    parent = F.max(F.when(F.col("sim") | F.col("by_scaff"), F.struct("oa", "better")))
+    why = F.max(F.when(F.col("by_sim") | F.col("by_scaff"), F.struct("oa", F.when(F.col("by_sim"), "sim").otherwise("scaff").alias("why"))))
+    fate = kept(held.groupBy(F.col("worse").alias("of_row")).agg(parent["better"].alias("parent"), why["why"].alias("why")))
+    up = kept(chosen.join(fate, F.col("row") == F.col("of_row"), "left").select("row", F.coalesce("parent", "row").alias("root")))
+    while True:  # each step doubles the way to the row that founded the group
+        step = up.toDF("of", "next")
+        jumped = kept(up.join(step, F.col("root") == F.col("of")).select("row", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        up = jumped.select("row", "root")
+        if not jumped.where("moved").limit(1).count():
+            break
+    founders = number_rows(up.where("row = root").select("root").join(place, F.col("root") == F.col("row")).select("root", "o"), ["o"], "group").select(F.col("root").alias("of_root"), "group")
+    groups = kept(up.join(founders, F.col("root") == F.col("of_root")).select(F.col("row").alias("in_row"), F.col("group").cast("long").alias("group")))
+
+    capped = None
+    if cap is not None:
+        capped = uses.join(closing(chosen, "full"), F.col("block") == F.col("of_full")).where(F.col("o") > F.col("full")).select(F.col("row").alias("capped")).distinct()
+    else:
+        capped = place.limit(0).select(F.col("row").alias("capped"))
+    out = order.join(chosen.withColumnRenamed("row", "picked"), F.col("row") == F.col("picked"), "left").join(capped, F.col("row") == F.col("capped"), "left")
+    out = out.join(fate, F.col("row") == F.col("of_row"), "left").join(groups, F.coalesce(F.col("picked"), F.col("parent")) == F.col("in_row"), "left")
+    late = F.lit(False) if limit is None else F.col("o")["rank"] > limit
+    if n_chosen is not None:
+        last = number_rows(order_of.select("o"), ["o"], "n").where(F.col("n") == n_chosen).select(F.col("o").alias("end"))
+        out = out.join(F.broadcast(last), F.lit(True), "left")  # one row at most
+        late = late | F.coalesce(F.col("o") > F.col("end"), F.lit(False))
+    reason = F.when(late, "Unknown").when(F.col("failed"), "failed").when(F.col("picked").isNotNull(), "OK").when(F.col("capped").isNotNull(), "bbusage").otherwise(F.col("why"))
+    out = out.select("row", F.col("o")["rank"].alias("rank"), reason.alias("reason"), "group")
+    group = F.when(F.col("reason").isin("Unknown", "bbusage"), F.lit(-1)).when(F.col("reason") != "failed", F.coalesce("group", F.lit(-1))).cast("long")
+    return out.select("row", "rank", "reason", group.alias("group"))
+
+
 def usage_cap(df: DataFrame, block: str, order: list, cap: int) -> DataFrame:
     """At most cap rows of each building block, in the given order; the others are marked 'bbusage'."""
     w = Window.partitionBy(block).orderBy(*order)
