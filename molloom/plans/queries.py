@@ -128,6 +128,21 @@ def sphere_exclusion(spark, sf):
     return out.select(F.col("row").alias("vec_id"), F.when((F.col("row") == F.col("top")) & (F.col("chosen") == "Yes"), "OK").otherwise("sim").alias("reason"))
 
 
+@query
+def diverse_walk(spark, sf):
+    """D1, joint rules: one vector of each set of 8 largest places, from the largest id down; two similar ones (Tanimoto .25)
+    or one beyond .45 reject it, and 30 of a label are chosen at most."""
+    prints = sparse_prints(spark, sf)
+    reps, rows = similarity.classes(prints, "row", "bits")
+    member = rows.groupBy("class_id").agg(F.max("row").alias("top"))
+    labelled = read(spark, sf, "embeddings").select(F.col("vec_id").alias("top"), F.array("label").alias("blocks"))
+    walked = member.join(labelled, "top").select(F.col("top").alias("row"), (-F.col("top")).alias("rank"), "blocks", F.lit(False).alias("failed"))
+    near = similarity.similarity_self_join(reps, 0.25).select("a", "b", F.when(F.col("score") >= 0.45, "hard").otherwise("sim").alias("kind"))
+    ends = near.join(member.toDF("a", "ta"), "a").join(member.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "kind")
+    out = selection.diverse_walk(walked, ends, cap=30, max_sim=2)
+    return out.select(F.col("row").alias("vec_id"), "reason", "group")
+
+
 @query
 def usage_cap(spark, sf):
     """At most two orders of each customer, the dearest first."""
