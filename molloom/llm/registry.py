@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .context_mixing import op9_context_mixing
+from .conversation_trie import OP11_SQL, op11_conversation_trie
 from .language_id import op3_language_id
 from .line_chunks import op4_line_chunks
 from .mpeg_audio import op5_mpeg_audio
@@ -17,9 +18,9 @@ from .winnow_decontamination import OP6_SQL, op6_winnow_decontamination
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op1_suffix_dedup, op2_piece_codec, op3_language_id, op4_line_chunks, op5_mpeg_audio, op6_winnow_decontamination, op7_token_orc, op8_simhash_pigeonhole, op9_context_mixing, op10_quality_compression]
+    found = [op1_suffix_dedup, op2_piece_codec, op3_language_id, op4_line_chunks, op5_mpeg_audio, op6_winnow_decontamination, op7_token_orc, op8_simhash_pigeonhole, op9_context_mixing, op10_quality_compression, op11_conversation_trie]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_winnow_decontamination": OP6_SQL}
+    return {"op6_winnow_decontamination": OP6_SQL, "op11_conversation_trie": OP11_SQL}
