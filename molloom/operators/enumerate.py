@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molloom.operators import permutation
+from molloom.operators.transform import number_rows
+
 #: Rows of a building-block list that are broadcast at most.
 BROADCAST_ROWS = 200_000
 #: Values that make a step pass its input on, or end the scheme with it.
@@ -20,14 +24,16 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def library_size(blocks: DataFrame, cycle: str = "cycle") -> DataFrame:
-    """n_products: the product of the cycles' sizes (one row)."""
-    counts = blocks.groupBy(cycle).agg(F.count("*").alias("n"))
-    return counts.agg(F.aggregate(F.collect_list("n"), F.lit(1).cast("long"), lambda a, b: a * b).alias("n_products"))
+    """n_products: the product of the cycles' sizes (one row), up to 38 digits."""
+    counts = blocks.groupBy(cycle).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    return counts.agg(F.aggregate(F.collect_list("n"), F.lit(1).cast("decimal(38,0)"), lambda a, b: (a * b).cast("decimal(38,0)")).alias("n_products"))
 
 
 def positions(blocks: DataFrame, order: str = "bb_id", cycle: str = "cycle") -> DataFrame:
-    """Adds pos: the place of each building block in its cycle, from 0."""
-    return blocks.withColumn("pos", F.row_number().over(Window.partitionBy(cycle).orderBy(order)).cast("long") - 1)
+    """Adds pos: the place of each building block in its cycle, from 0. Ranges are sorted apart, so a cycle may hold most rows."""
+    rows = number_rows(blocks, [F.col(cycle), F.col(order)], "__number")
+    first = rows.groupBy(F.col(cycle).alias("__cycle")).agg(F.min("__number").alias("__first"))
+    return rows.join(first, F.col(cycle).eqNullSafe(F.col("__cycle"))).withColumn("pos", F.col("__number") - F.col("__first")).drop("__number", "__cycle", "__first")
 
 
 def full_product(lists: list[DataFrame]) -> DataFrame:
@@ -42,33 +48,64 @@ def full_product(lists: list[DataFrame]) -> DataFrame:
     return reduce(beside, lists)
 
 
-def sample_product(blocks: DataFrame, cycles: list[str], n: int, step: int = 7919, start: int = 0) -> DataFrame:
-    """n distinct members of the product without building it: (sample_id, bb_1, bb_2, ...).
+def cycle_sizes(blocks: DataFrame, cycles: list[str]) -> list[int]:
+    counts = {r[0]: r[1] for r in blocks.where(F.col("cycle").isin(cycles)).groupBy("cycle").agg(F.count("*")).collect()}
+    return [counts.get(c, 0) for c in cycles]
 
-    blocks (cycle, bb_id, pos). Member k has number (start + k * step) mod size, decoded with the cycles' sizes as
-    radices, the last cycle fastest. step is raised until it shares no factor with the size, so all numbers differ;
-    with n beyond the size every member comes once.
-    """
-    from math import gcd
 
-    counts = {r[0]: r[1] for r in blocks.where(F.col("cycle").isin(cycles)).groupBy("cycle").agg(F.count("*")).collect()}
-    sizes = [counts.get(c, 0) for c in cycles]
-    total = reduce(lambda a, b: a * b, sizes)
-    spark = blocks.sparkSession
-    while total and gcd(step, total) != 1:
-        step += 1
-    rows = spark.range(min(n, total)).select(F.col("id").alias("sample_id"), F.expr(f"CAST((CAST({start} AS DECIMAL(38,0)) + CAST(id AS DECIMAL(19,0)) * {step}) % {max(total, 1)} AS BIGINT)").alias("number"))
-    base = 1
+def decoded(numbered: DataFrame, blocks: DataFrame, cycles: list[str], sizes: list[int]) -> DataFrame:
+    """(sample_id, bb_1, bb_2, ...) of rows (sample_id, hi, lo): the member hi * base + lo, base as of permuted(), written with
+    the cycles' sizes as digits, the last cycle fastest."""
+    base = permutation.halves(prod(sizes))[1]
+    rows = numbered
     for k in range(len(cycles), 0, -1):
         size = max(sizes[k - 1], 1)
-        rows = rows.withColumn(f"p_{k}", F.floor(F.col("number") / base) % size)
-        base *= size
+        # long division of the two limbs by a digit's size; the remainder is the digit
+        rest = F.col("hi") % size
+        low = rest.cast("decimal(19,0)") * F.lit(base).cast("decimal(19,0)") + F.col("lo")
+        rows = rows.withColumn(f"p_{k}", (low % F.lit(size).cast("decimal(19,0)")).cast("long"))
+        rows = rows.withColumn("lo", F.expr(f"((hi % {size}L) * CAST({base}L AS DECIMAL(19,0)) + lo) div CAST({size}L AS DECIMAL(19,0))")).withColumn("hi", F.expr(f"hi div {size}L"))
+    for k, c in enumerate(cycles, 1):
+        own = blocks.where(F.col("cycle") == c).select(F.col("pos").alias(f"of_{k}"), F.col("bb_id").alias(f"bb_{k}"))
+        rows = rows.join(own, F.col(f"p_{k}") == F.col(f"of_{k}"))
+    return rows.select("sample_id", *(f"bb_{k}" for k in range(1, len(cycles) + 1)))
+
+
+def sample_product(blocks: DataFrame, cycles: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n distinct members of the product without building it: (sample_id, bb_1, bb_2, ...).
+
+    blocks (cycle, bb_id, pos). Member k is number k of a keyed permutation of all members, so every member is as
+    likely as any other; with n beyond the size each comes once. Products may have up to permutation.LARGEST members.
+    """
+    sizes = cycle_sizes(blocks, cycles)
+    total = prod(sizes)
+    ids = blocks.sparkSession.range(min(n, total)).withColumnRenamed("id", "sample_id")
+    return decoded(permutation.permuted(ids, "sample_id", total, seed), blocks, cycles, sizes)
+
+
+def pick_product(blocks: DataFrame, cycles: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n members of the product, drawn with replacement: (sample_id, bb_1, bb_2, ...). Each cycle is drawn by a hash of its own."""
+    sizes = cycle_sizes(blocks, cycles)
+    rows = blocks.sparkSession.range(n if prod(sizes) else 0).withColumnRenamed("id", "sample_id")
+    rows = rows.select("sample_id", *(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample_id"), F.lit(max(size, 1))).alias(f"p_{k}") for k, size in enumerate(sizes, 1)))
     for k, c in enumerate(cycles, 1):
-        own = blocks.where(F.col("cycle") == c).select(F.col("pos").alias(f"p_{k}"), F.col("bb_id").alias(f"bb_{k}"))
-        rows = rows.join(own, f"p_{k}")
+        own = blocks.where(F.col("cycle") == c).select(F.col("pos").alias(f"of_{k}"), F.col("bb_id").alias(f"bb_{k}"))
+        rows = rows.join(own, F.col(f"p_{k}") == F.col(f"of_{k}"))
     return rows.select("sample_id", *(f"bb_{k}" for k in range(1, len(cycles) + 1)))
 
 
+def test_tuples(blocks: DataFrame, static: str, cycles: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Every block of the static cycle beside the same n partner tuples, drawn with replacement from the other cycles:
+    (sample_id, bb_1, bb_2, ...) in the order of cycles."""
+    others = [c for c in cycles if c != static]
+    picks = pick_product(blocks, others, n, seed)
+    names = {c: f"bb_{k}" for k, c in enumerate(others, 1)}
+    picks = picks.select("sample_id", *(F.col(v).alias(f"__{c}") for c, v in names.items()))
+    own = blocks.where(F.col("cycle") == static).select(F.col("bb_id").alias(f"__{static}"))
+    both = own.join(F.broadcast(picks) if n <= BROADCAST_ROWS else picks)
+    return both.select("sample_id", *(F.col(f"__{c}").alias(f"bb_{k}") for k, c in enumerate(cycles, 1)))
+
+
 def constant_side(df: DataFrame, slot: int, constants: list[str | None]) -> DataFrame:
     """Every row's reactants r0, r1, ...: its bb_id in one slot, constants in the others."""
     return df.select("*", *(F.col("bb_id").alias(f"r{k}") if k == slot else F.lit(c).cast("string").alias(f"r{k}") for k, c in enumerate(constants)))
