@@ -1,6 +1,8 @@
 """DuckDB SQL of the registered queries. Those without SQL: kmeans_clusters, chemical_space, lsh_neighbours and
 partner_sample's choice (its counts are given)."""
 
+from molloom.operators.permutation import PRIME, keys
+
 PAIRS = """
 f AS (SELECT vec_id, label, list_filter(list_transform(range(len(embedding)), lambda i: CASE WHEN embedding[i+1] > 0 THEN i ELSE -1 END), lambda x: x >= 0) fp FROM embeddings),
 s AS (SELECT q.vec_id q, f.vec_id, f.label, len(list_intersect(q.fp, f.fp)) c, len(q.fp) a, len(f.fp) n FROM f, f q WHERE q.vec_id % 100 = 0),
@@ -24,6 +26,21 @@ SPARSE = """
 v AS (SELECT vec_id, list_sort(list_transform(list_slice(list_sort(list_transform(range(len(embedding)), lambda i: struct_pack(v := -abs(embedding[i+1]), i := i))), 1, 8), lambda x: x.i)) fp FROM embeddings),
 o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id DESC) i, vec_id, fp FROM v)
 """
+
+
+def feistel(rows: str) -> str:
+    """The keyed permutation of rows (id, hi, lo, high, low, n), one nested SELECT a step."""
+    p = PRIME
+    for j, (a, b, c, d) in enumerate(keys(0)):
+        x, y, n = ("hi", "lo", "low") if j % 2 else ("lo", "hi", "high")
+        rows = f"SELECT *, (({x} % {p}) * {a} % {p} + ({x} // {p}) % {p} * {b} + {c}) % {p} AS s FROM ({rows})"
+        rows = f"SELECT *, ((s * s % {p}) * {d} + s + {c}) % {p} AS t FROM ({rows})"
+        rows = f"SELECT *, (((t * t % {p}) * {b} + t + {c}) % {p}) * {p} + ((t * t % {p}) * {a} + t + {c}) % {p} AS f FROM ({rows})"
+        new = f"({y} + f % {n}) % {n} AS {y}"
+        rows = f"SELECT id, {'hi, ' + new if j % 2 else new + ', lo'}, high, low, n FROM ({rows})"
+    return rows
+
+
 FAIL = "CASE WHEN p_retailprice > 990 THEN 'MW' WHEN p_retailprice < 910 THEN 'MW' WHEN p_size < 3 THEN 'HBD' WHEN p_size > 40 THEN 'HBD' END"
 SCHEME = """
 s1 AS (SELECT *, CASE WHEN p_size > 40 THEN p_brand || '+a' WHEN p_size > 20 THEN 'b(' || p_brand || ')' WHEN p_size > 3 THEN p_brand END x1 FROM part),
@@ -67,14 +84,14 @@ SELECT list, count(*) n, min(p_partkey) first_part FROM l GROUP BY list""",
     "nearest_but_excluded": f"WITH {PAIRS} SELECT q, vec_id, label, score, rank FROM (SELECT q, vec_id, label, round(t, 6) score, row_number() OVER (PARTITION BY q ORDER BY round(t, 6) DESC, vec_id) rank FROM p WHERE vec_id % 3 <> 0) WHERE rank <= 3",
     "mass_cutoff": "SELECT p_partkey, p_brand FROM part WHERE p_retailprice <= 960 AND p_type IS NOT NULL AND p_type NOT IN ('FAIL', 'ENUMERATION_FAIL', 'NOSCHEMEFAIL') AND p_brand IN (SELECT p_brand FROM part WHERE p_size > 45)",
     "exclusion_list": "SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)",
-    "library_size": f"WITH {BLOCKS} SELECT product(n)::BIGINT n_products FROM (SELECT cycle, count(*) n FROM b GROUP BY cycle)",
+    "library_size": f"WITH {BLOCKS} SELECT product(n)::DECIMAL(38,0) n_products FROM (SELECT cycle, count(*) n FROM b GROUP BY cycle)",
     "cycle_sizes": f"WITH {BLOCKS} SELECT cycle, count(*) n FROM b GROUP BY cycle ORDER BY cycle",
     "full_product": f"WITH {BLOCKS} SELECT x.bb_id bb1, y.bb_id bb2, count(*) n, min(x.bb_id || '.' || y.bb_id || '.' || z.bb_id) \"first\", sum(length(x.bb_id) + length(y.bb_id) + length(z.bb_id) + 2)::BIGINT letters FROM b x, b y, b z WHERE x.cycle = 'BB1' AND y.cycle = 'BB2' AND z.cycle = 'BB3' GROUP BY 1, 2",
-    "sampled_product": f"""WITH {BLOCKS}, n AS (SELECT cycle, bb_id, row_number() OVER (PARTITION BY cycle ORDER BY bb_id) - 1 pos FROM b),
-z AS (SELECT (SELECT count(*) FROM n WHERE cycle = 'BB1') a, (SELECT count(*) FROM n WHERE cycle = 'BB2') b, (SELECT count(*) FROM n WHERE cycle = 'BB3') c),
-st AS (SELECT min(x) st FROM range(7919, 8920) t(x), z WHERE gcd(x, a * b * c) = 1),
-s AS (SELECT i sample_id, (i * st) % (a * b * c) m, a, b, c FROM range(0, 500) r(i), z, st WHERE i < a * b * c)
-SELECT sample_id, x.bb_id bb_1, y.bb_id bb_2, w.bb_id bb_3 FROM s JOIN n x ON x.cycle = 'BB1' AND x.pos = m // (b * c) JOIN n y ON y.cycle = 'BB2' AND y.pos = m // c % b JOIN n w ON w.cycle = 'BB3' AND w.pos = m % c""",
+    "sampled_product": f"""WITH RECURSIVE {BLOCKS}, k AS (SELECT cycle, bb_id, row_number() OVER (PARTITION BY cycle ORDER BY bb_id) - 1 pos FROM b),
+z AS (SELECT *, a * b * c n, floor(sqrt(a * b * c - 1))::BIGINT + 1 low FROM (SELECT (SELECT count(*) FROM k WHERE cycle = 'BB1') a, (SELECT count(*) FROM k WHERE cycle = 'BB2') b, (SELECT count(*) FROM k WHERE cycle = 'BB3') c)),
+w AS (SELECT * FROM ({feistel("SELECT i id, i // low hi, i % low lo, (n + low - 1) // low high, low, n FROM range(0, 500) r(i), z WHERE i < n")}) UNION ALL SELECT * FROM ({feistel("SELECT * FROM w WHERE hi * low + lo >= n")})),
+s AS (SELECT id, hi * low + lo m FROM w WHERE hi * low + lo < n)
+SELECT id sample_id, x.bb_id bb_1, y.bb_id bb_2, v.bb_id bb_3 FROM s, z JOIN k x ON x.cycle = 'BB1' AND x.pos = m // (b * c) JOIN k y ON y.cycle = 'BB2' AND y.pos = m // c % b JOIN k v ON v.cycle = 'BB3' AND v.pos = m % c""",
     "memoised_lookup": "SELECT l_orderkey, l_linenumber, l_partkey || '.' || l_suppkey product FROM lineitem",
     "lookup_with_nulls": "SELECT l_orderkey, l_linenumber, concat_ws('.', round(nullif(l_discount, 0) * 100)::INT::VARCHAR, l_returnflag) product FROM lineitem",
     "picklist_join": "SELECT c_custkey bb_id, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey",

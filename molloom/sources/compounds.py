@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +27,72 @@ def read_compounds(spark: SparkSession, path: str, sep: str = ",", columns: list
     return df.select(columns) if columns else df
 
 
-def read_blocks(spark: SparkSession, folder: str, scheme: str, spec: str | None = None) -> DataFrame:
-    """(cycle, bb_id, smiles) of the files <scheme>[.<spec>].BB<n>.csv in a folder, each id of a cycle once (its first row)."""
+#: Files whose first lines are read at once.
+OPEN_FILES = 16
+
+
+def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder by header, in order of path. Files come from the folder's listing, headers from first lines
+    alone; an empty file has the header ()."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = where.getFileSystem(conf).globStatus(where) or []
+    paths = sorted(x.getPath().toString() for x in found if x.isFile())
+
+    def header(path: str) -> tuple[str, ...]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        return tuple(x.strip() for x in next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), ())) if line else ()
+
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        headers = list(pool.map(header, paths))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path, names in zip(paths, headers):
+        out.setdefault(names, []).append(path)
+    return out
+
+
+def _by_header(spark: SparkSession, files: dict[tuple[str, ...], list[str]], aliases: dict[str, list[str]], more: list[str]) -> DataFrame:
+    """All rows of the files, one scan a distinct header: the aliased columns, more (null where a file has none) and __place."""
+    parts = []
+    for names, paths in files.items():
+        if not names:
+            continue
+        schema = ", ".join(f"`{n}` string" for n in names)
+        df = spark.read.schema(schema).option("header", True).csv(paths).withColumn("__file", F.col("_metadata.file_name")).withColumn("__place", F.expr(PLACE))
+        df = standardize_columns(df, aliases)
+        if lacking := [a for a in aliases if a not in df.columns]:
+            raise ValueError(f"no column for {', '.join(lacking)} in {paths[0]}")
+        parts.append(df.select(*aliases, *(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in more), "__file", "__place"))
+    if not parts:
+        columns = ", ".join(f"`{c}` string" for c in [*aliases, *more, "__file"])
+        return spark.createDataFrame([], f"{columns}, __place int")
+    return union_all(parts, drop_incomplete=False)
+
+
+def read_blocks(spark: SparkSession, folder: str, scheme: str, spec: str | None = None, more: list[str] | None = None, ids: list[str] = IDS, smiles: list[str] = SMILES) -> DataFrame:
+    """(cycle, bb_id, smiles) of the files <scheme>[.<spec>].BB<n>.csv in a folder, each id of a cycle once (its first row).
+
+    Every file is read under its own header, with any of the names in ids and smiles. more: further columns to keep.
+    """
     start = f"{scheme}.{spec}" if spec else scheme
-    df = spark.read.option("header", True).option("pathGlobFilter", f"{start}.BB*.csv").csv(folder)
-    cycle = F.regexp_extract(F.col("_metadata.file_name"), r"\.(BB[0-9]+)\.[^.]*$", 1)
-    df = df.select("*", cycle.alias("cycle"), F.expr(PLACE).alias("__place")).where("cycle <> ''")
-    rows = standardize_columns(df, {"bb_id": IDS, "smiles": SMILES})
-    return rows.groupBy("cycle", "bb_id").agg(F.min_by(F.struct("smiles"), "__place")["smiles"].alias("smiles"))
-
-
-def read_folder(spark: SparkSession, folder: str, complete: bool = True) -> DataFrame:
-    """(bb_id, smiles) of all CSV files in a folder, without the rows that lack one of them unless complete is False."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("file"))
-    # a read for each file, as their headers differ; only the paths are collected
-    parts = [standardize_columns(spark.read.option("header", True).csv(r[0]), {"bb_id": IDS, "smiles": SMILES}).select("bb_id", "smiles") for r in lines.distinct().orderBy("file").collect()]
-    return union_all(parts, complete)
+    extra = list(more or [])
+    rows = _by_header(spark, csv_files(spark, folder, f"{start}.BB*.csv"), {"bb_id": ids, "smiles": smiles}, extra)
+    cycle = F.regexp_extract(F.col("__file"), r"\.(BB[0-9]+)\.[^.]*$", 1)
+    rows = rows.withColumn("cycle", cycle).where("cycle <> ''")
+    first = rows.groupBy("cycle", "bb_id").agg(F.min_by(F.struct("smiles", *extra), "__place").alias("r"))
+    return first.select("cycle", "bb_id", *(F.col("r")[c].alias(c) for c in ("smiles", *extra)))
+
+
+def read_folder(spark: SparkSession, folder: str, complete: bool = True, ids: list[str] = IDS, smiles: list[str] = SMILES) -> DataFrame:
+    """(bb_id, smiles) of all CSV files in a folder, each under its own header, without the rows that lack one of them unless
+    complete is False."""
+    out = _by_header(spark, csv_files(spark, folder), {"bb_id": ids, "smiles": smiles}, []).select("bb_id", "smiles")
+    return out.dropna() if complete else out
 
 
 def read_sdf(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
