@@ -31,20 +31,6 @@ def medoids(df: DataFrame, cluster: str, row: str, vector: str, centres: DataFra
     return near.groupBy(cluster).agg(F.min(F.struct("__d", row)).alias("__m")).select(cluster, F.col("__m")[row].alias("medoid"), F.col("__m")["__d"].alias("distance"))
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seeds: tuple[int, ...] = (1, 2, 3), rounds: int = 50) -> DataFrame:
-    """Adds clustnum, of the best of several starts; k is lowered to the number of distinct vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    k = min(k, df.select(vector).distinct().limit(k).count())
-    if k < 2:
-        return df.withColumn("clustnum", F.lit(0))
-    fits = [KMeans(k=k, seed=s, maxIter=rounds, featuresCol="__v", predictionCol="clustnum").fit(rows) for s in seeds]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("__v")
-
-
 def knn_graph(scored: DataFrame, query: str, row: str, score: str, k: int = 25) -> DataFrame:
     """The k nearest rows of each query beside itself, with their number from 1."""
     w = Window.partitionBy(query).orderBy(F.col(score).desc(), row)

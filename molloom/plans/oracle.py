@@ -41,6 +41,20 @@ def feistel(rows: str) -> str:
     return rows
 
 
+
+
+def clusters(rounds: int) -> str:
+    """Lloyd's iterations one after the other: c<j> has the centres, a<j> each vector's nearest."""
+    out = """x AS (SELECT vec_id, label, unnest(range(len(embedding))) i, embedding FROM embeddings), y AS (SELECT vec_id, label, i, embedding[i+1]::DOUBLE e FROM x),
+c0 AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 k, i, e FROM y QUALIFY k < 2 + label % 3)"""
+    for j in range(rounds + 1):
+        out += f""",
+d{j} AS (SELECT y.label, vec_id, k, sum((y.e - c.e) * (y.e - c.e)) d FROM y JOIN c{j} c USING (label, i) GROUP BY ALL),
+a{j} AS (SELECT label, vec_id, arg_min(k, (d, k)) k, min(d) d FROM d{j} GROUP BY ALL),
+c{j + 1} AS (SELECT label, k, i, avg(e) e FROM y JOIN a{j} USING (label, vec_id) GROUP BY ALL)"""
+    return out
+
+
 FAIL = "CASE WHEN p_retailprice > 990 THEN 'MW' WHEN p_retailprice < 910 THEN 'MW' WHEN p_size < 3 THEN 'HBD' WHEN p_size > 40 THEN 'HBD' END"
 SCHEME = """
 s1 AS (SELECT *, CASE WHEN p_size > 40 THEN p_brand || '+a' WHEN p_size > 20 THEN 'b(' || p_brand || ')' WHEN p_size > 3 THEN p_brand END x1 FROM part),
@@ -74,6 +88,8 @@ SELECT p_brand, p_partkey, p_type, p_size FROM (SELECT part.*, row_number() OVER
     "cluster_medoids": """WITH x AS (SELECT vec_id, label, unnest(range(len(embedding))) i, embedding FROM embeddings), y AS (SELECT vec_id, label, i, embedding[i+1]::DOUBLE e FROM x),
 c AS (SELECT label, i, avg(e) c FROM y GROUP BY ALL), d AS (SELECT label, vec_id, round(sqrt(sum((e - c) * (e - c))), 6) d FROM y JOIN c USING (label, i) GROUP BY ALL)
 SELECT label, arg_min(vec_id, (d, vec_id)) medoid FROM d GROUP BY label""",
+    "cycle_clusters": f"WITH {clusters(3)} SELECT label, vec_id, k::INT clustnum, round(sqrt(d), 6) distance FROM a3",
+    "cycle_medoids": f"WITH {clusters(3)}, m AS (SELECT label, k, vec_id, round(sqrt(d), 6) d FROM d3) SELECT label, k::INT clustnum, arg_min(vec_id, (d, vec_id)) medoid, min(d) distance FROM m GROUP BY ALL",
     "property_filter_stats": f"SELECT coalesce({FAIL}, 'kept') first_fail, count(*) n FROM part GROUP BY 1",
     "kept_and_removed": f"SELECT p_partkey, {FAIL} IS NOT NULL OR regexp_matches(p_name, 'e$|^a|1') removed, {FAIL} first_fail, CASE WHEN p_name LIKE '%e' THEN 0 WHEN p_name LIKE 'a%' THEN 1 WHEN p_name LIKE '%1%' THEN 2 END pattern FROM part",
     "substructure_counts": "SELECT CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 0 WHEN text LIKE '%!!%' THEN 1 WHEN text LIKE '%the%' THEN 2 WHEN text LIKE '%que%' THEN 3 END pattern, count(*) n FROM documents GROUP BY 1",

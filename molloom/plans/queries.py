@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import filters, profile, selection, similarity, transform
+from molloom.operators import cluster, filters, profile, selection, similarity, transform
 
 REGISTERED: dict = {}
 
@@ -396,11 +396,35 @@ def colored_union(spark, sf):
     return transform.tagged_union({"red": c, "blue": s}).groupBy("color").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"))
 
 
+def started(spark, sf):
+    """Vectors by label, and start centres: of each label the first 2 to 4 vectors."""
+    points = cluster.points_of(read(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    w = Window.partitionBy("grp").orderBy("row")
+    ranked = points.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 + F.col("grp").cast("int") % 3)
+    return points, ranked.select("grp", F.lit(0).alias("start"), (F.col("n") - 1).cast("int").alias("cluster"), F.col("v").alias("centre"))
+
+
+@query
+def cycle_clusters(spark, sf):
+    """The vectors of every label in clusters, after three iterations from given centres."""
+    points, centres = started(spark, sf)
+    out = cluster.assigned(points, cluster.lloyd(points, centres, 3)[0])
+    return out.select(F.col("grp").cast("int").alias("label"), F.col("row").alias("vec_id"), F.col("cluster").alias("clustnum"), F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+@query
+def cycle_medoids(spark, sf):
+    """Of each cluster's centre the nearest vector of the label."""
+    points, centres = started(spark, sf)
+    out = cluster.medoids(points, cluster.lloyd(points, centres, 3)[0])
+    return out.select(F.col("grp").cast("int").alias("label"), F.col("cluster").alias("clustnum"), "medoid", "distance")
+
+
 @query
 def kmeans_clusters(spark, sf):
-    """Sizes of 8 clusters of vectors."""
-    out = profile.kmeans(read(spark, sf, "embeddings"), "embedding", 8)
-    return out.groupBy("clustnum").agg(F.count("*").alias("n"))
+    """Clusters of the vectors of every label, three of each from drawn centres, and their sizes."""
+    rows, _ = cluster.kmeans(read(spark, sf, "embeddings"), "label", "vec_id", "embedding", 3, starts=2, rounds=20)
+    return rows.groupBy(F.col("grp").cast("int").alias("label"), "clustnum").agg(F.count("*").alias("n"))
 
 
 @query
