@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from molloom.llm import line_chunks as lc
 
@@ -23,16 +24,40 @@ def test_equals_brute_force(spark):
     assert sum(n for _, n in want.values()) > 200
 
 
-def test_chunks_resist_shifts():
-    lines = [f"line {k}" for k in range(200)]
-    a = {x for n, x in lc.chunks("\n".join(lines).encode())}
-    b = {x for n, x in lc.chunks("\n".join(lines[:50] + ["new"] + lines[50:]).encode())}
-    assert len(a - b) <= 3
+def test_boundaries_resist_shifts():
+    lines = [f"line {k}" for k in range(400)]
+    a = {x for n, x in lc.chunks("\n".join(lines).encode()) if n > lc.WINDOW}
+    b = {x for n, x in lc.chunks("\n".join(lines[:50] + ["new"] + lines[50:]).encode()) if n > lc.WINDOW}
+    assert len(a) > 40 and len(a - b) <= 2 and max(x.count(b"\n") for x in a) < 40
 
 
-def test_a_shared_hash_is_not_a_copy(spark, monkeypatch):
-    rows = lc.repeated_chunks(frame(spark, ["a\nb\nc", "a\nb\nc", None]))
-    assert {r.doc_id for r in rows.collect()} == {1}
+def test_a_shared_hash_is_not_a_copy(spark):
+    """With hashes of 3 bits nearly all chunks share one; a window is then compared with one occurrence alone."""
+    texts = planted(4)
+    exact = {r.doc_id: r.text for r in lc.dedup(frame(spark, texts)).collect()}
+    got = {r.doc_id: (r.text, r.n_lines) for r in lc.dedup(frame(spark, texts), bits=3).collect()}
+    for d, (text, n) in got.items():
+        left, full = (Counter(lc.lines_of((x or "").encode())) for x in (text, exact[d]))
+        # what goes is a copy: nothing is cut that the full hashes would keep
+        assert full <= left and n == len(lc.lines_of((texts[d] or "").encode()))
+
+
+def test_clashing_chunks_leave_their_windows(spark):
+    """Two long chunks with one hash and other bytes: the windows within them are still compared."""
+    passage = [f"p {k}" for k in range(40)]
+    other = [f"q {k}" for k in range(40)]
+    texts = ["\n".join(x) for x in (passage, other, passage, other)]
+    for bits in (5, 8, 64):
+        got = {r.doc_id: r.n_removed_lines for r in lc.dedup(frame(spark, texts), bits=bits).collect()}
+        assert got[0] == 0 and (bits < 64 or got == {0: 0, 1: 0, 2: 40, 3: 40})
+
+
+def test_rows_of_one_id_keep_what_is_their_own(spark):
+    rows = [(1, "a\nb\n"), (2, "x\ny\na\nb\n"), (2, "p\nq\nr\ns\n"), (3, "u\nv\nw\n"), (3, "u\nv\nz\n"), (3, "u\nv\nw\n")]
+    got = sorted(r.text for r in lc.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got.count("a\nb\n") == 1 and "x\ny\n" in got and "p\nq\nr\ns\n" in got
+    # of the two texts of id 3 one keeps the shared lines, whichever comes first by its hash
+    assert sorted(got[got.index("p\nq\nr\ns\n") + 1 :]) in (sorted(["u\nv\nw\n", "u\nv\nw\n", "x\ny\n", "z\n"]), sorted(["u\nv\nz\n", "w\n", "w\n", "x\ny\n"]))
 
 
 def test_repeated_rows_nulls_and_empty_tables(spark):
