@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows (of some 24 bytes) of benchmark fingerprints, or ids of documents with matches, that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 PLACE = (1 << 24) - 1
+#: Words of a document whose places are told by a fingerprint's low bits; longer documents go in overlapping blocks with a start each.
+BLOCK = PLACE - 64
 
 
 def words(text: Column) -> Column:
@@ -83,18 +85,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
     # one row a document with its word count, and one a fingerprint that the benchmark has too
     cut = keyed(docs, text).select(*KEY, "doc_id", words(F.col("text")).alias("w"))
-    hashes = cut.select(*KEY, "doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    mark = F.array(F.struct(F.lit(0).alias("length"), F.size("h").cast("long").alias("f")))
+    hashes = cut.select(*KEY, "doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("all"))
+    later = lambda b: F.struct((b * BLOCK).cast("long").alias("base"), F.slice("all", b * BLOCK + 1, BLOCK + WINDOW - 1).alias("h"))
+    parts = F.when(F.size("all") <= BLOCK, F.array(F.struct(F.lit(0).cast("long").alias("base"), F.col("all").alias("h")))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int")), later))
+    hashes = hashes.select(*KEY, "doc_id", F.size("all").cast("long").alias("n_all"), F.explode(parts).alias("part")).select(*KEY, "doc_id", "n_all", "part.base", "part.h")
+    mark = F.when(F.col("base") == 0, F.array(F.struct(F.lit(0).alias("length"), F.col("n_all").alias("f")))).otherwise(F.array().cast("array<struct<length:int,f:bigint>>"))
     tagged = lambda n: lambda f: F.struct(F.lit(n).alias("length"), f.alias("f"))
     each = [F.transform(fingerprints(F.col("h"), n), tagged(n)) for n in lengths]
-    rows = hashes.select(*KEY, "doc_id", F.explode(F.concat(mark, *each)).alias("x")).select(*KEY, "doc_id", "x.length", "x.f")
-    rows = rows.select(*KEY, "doc_id", "length", "f", F.when(F.col("length") > 0, F.shiftright("f", 24)).alias("gram"))
+    rows = hashes.select(*KEY, "doc_id", "base", F.explode(F.concat(mark, *each)).alias("x")).select(*KEY, "doc_id", "base", "x.length", "x.f")
+    rows = rows.select(*KEY, "doc_id", "base", "length", "f", F.when(F.col("length") > 0, F.shiftright("f", 24)).alias("gram"))
     met = rows.join(keys, (F.col("length") == F.col("of_length")) & (F.col("gram") == F.col("of_gram")), "left").where("length = 0 OR of_gram IS NOT NULL")
-    met = stored(met.select(*KEY, "doc_id", "length", "f", "gram"))
+    met = stored(met.select(*KEY, "doc_id", "base", "length", "f", "gram"))
     sizes = met.where("length = 0").select(*KEY, "doc_id", F.col("f").alias("n_words"))
 
     # matches are extended to whole windows in the documents that have any
-    matches = met.where("length > 0").select(*KEY, "length", "gram", F.col("f").bitwiseAND(F.lit(PLACE)).cast("int").alias("place"))
+    matches = met.where("length > 0").select(*KEY, "length", "gram", (F.col("base") + F.col("f").bitwiseAND(F.lit(PLACE))).cast("int").alias("place"))
     pairs = matches.join(index, ["length", "gram"]).select(*KEY, "length", "window", (F.col("place") - F.col("offset")).alias("start"))
     hit_docs = stored(matches.select(*KEY).distinct())
     if hit_docs.count() <= BROADCAST_ROWS:

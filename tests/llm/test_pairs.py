@@ -128,3 +128,14 @@ def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert wd.decontaminate(none, bench).count() == 0
     assert [(r.n_words, r.n_hit, r["items"]) for r in wd.decontaminate(some, bench).orderBy("doc_id").collect()] == [(2, 0, []), (0, 0, [])]
+
+
+def test_places_beyond_a_fingerprint_s_bits(spark, monkeypatch):
+    """Documents of more words than a block: items at its ends, across them and far behind are all found."""
+    monkeypatch.setattr(wd, "BLOCK", 50)
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    texts = [" ".join(["pad"] * n + [item] + ["pad"] * 30) for n in (0, 36, 37, 38, 43, 49, 50, 51, 100, 163)] + ["pad " * 50, "pad " * 51, "short"]
+    items = [(1, item), (2, "short")]
+    got = wd.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(list(enumerate(texts)), items)
+    assert {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in got.collect()} == want and all(want[k][1] == 14 for k in range(10))
