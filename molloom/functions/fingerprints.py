@@ -44,6 +44,17 @@ def tanimoto_words(x: Column, y: Column) -> Column:
     return tanimoto(F.bit_count(x.bitwiseAND(y)), F.bit_count(x), F.bit_count(y))
 
 
+def count_bits(words: Column) -> Column:
+    """On-bits of a fingerprint of several words."""
+    return F.aggregate(words, F.lit(0), lambda a, w: a + F.bit_count(w))
+
+
+def tanimoto_word_arrays(x: Column, y: Column) -> Column:
+    """Of fingerprints of several words."""
+    common = count_bits(F.zip_with(x, y, lambda a, b: a.bitwiseAND(b)))
+    return tanimoto(common, count_bits(x), count_bits(y))
+
+
 def tversky(common: Column, a: Column, b: Column, alpha: float = 0.0, beta: float = 1.0) -> Column:
     """common / (alpha * only a + beta * only b + common)."""
     return F.try_divide(common.cast("double"), alpha * (a - common) + beta * (b - common) + common)

@@ -1,5 +1,5 @@
-"""DuckDB SQL of the registered queries. Those without SQL: kmeans_clusters, chemical_space, lsh_neighbours and
-partner_sample's choice (its counts are given)."""
+"""DuckDB SQL of the registered queries. Those without SQL: kmeans_clusters, chemical_space, neighbour_graph, lsh_neighbours
+and partner_sample's choice (its counts are given); tests hold them against brute force, recall and known clusters."""
 
 from molloom.operators.permutation import PRIME, keys
 
@@ -126,3 +126,4 @@ SELECT id sample_id, x.bb_id bb_1, y.bb_id bb_2, v.bb_id bb_3 FROM s, z JOIN k x
 UNION ALL SELECT CASE WHEN p_retailprice = 995 THEN 18 ELSE floor((p_retailprice - 900) / 5)::BIGINT END, count(*), 'price' FROM part WHERE p_retailprice BETWEEN 900 AND 995 GROUP BY 1""",
     "colored_union": "SELECT 'red' color, count(*) n, round(sum(c_acctbal), 2) total FROM customer UNION ALL SELECT 'blue', count(*), round(sum(s_acctbal), 2) FROM supplier",
 }
+SQL["indexed_top_k"] = SQL["top_k_tanimoto"]

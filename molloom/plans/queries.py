@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import cluster, filters, profile, selection, similarity, transform
+from molloom.operators import cluster, filters, neighbour_graph as graphs, popcount_index, profile, selection, similarity, transform
 
 REGISTERED: dict = {}
 
@@ -42,6 +42,15 @@ def top_k_tanimoto(spark, sf):
     return similarity.top_k(s, "q", "score", "vec_id", 3).select("q", "vec_id", "score", "rank")
 
 
+@query
+def indexed_top_k(spark, sf):
+    """The same over an index stored by population count, which is read from each query's own count outwards."""
+    words = words_of(spark, sf)
+    queries = words.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"), F.array("word").alias("words"))
+    found, _ = popcount_index.search(popcount_index.build(words, "vec_id", "word"), queries, 3)
+    return found.select("q", F.col("row").alias("vec_id"), "score", "rank")
+
+
 @query
 def tanimoto_pairs(spark, sf):
     """The rounded score of every vector with every query."""
@@ -77,11 +86,19 @@ def query_neighbour_counts(spark, sf):
 
 @query
 def knn_graph(spark, sf):
-    """The 25 nearest vectors of each query."""
+    """U1, as a search: the 25 nearest vectors of each query. neighbour_graph has those of all vectors."""
     s = scored(spark, sf).withColumn("score", F.round("t", 6))
     return profile.knn_graph(s, "q", "vec_id", "score").select("q", "vec_id", "score", "n")
 
 
+@query
+def neighbour_graph(spark, sf):
+    """The 25 nearest of every fingerprint, by neighbours of neighbours; vectors with one fingerprint share them."""
+    points, members = graphs.points_of(words_of(spark, sf), "vec_id", "word")
+    near = graphs.neighbour_graph(points)[0]
+    return members.join(near, "point").select(F.col("row").alias("vec_id"), "point", "near", F.round("score", 6).alias("score"))
+
+
 def token_classes(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("w"))
     counts = docs.select("doc_id", F.explode("w").alias("x")).where("x <> ''").groupBy("doc_id", "x").agg(F.count("*").alias("m"))
