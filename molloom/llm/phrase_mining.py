@@ -8,6 +8,10 @@ Windows end before a word that occurs less than `least` times, as no candidate c
 BITS bits, the same size for any corpus, set from the counts of single words: where two words share a bit a window
 stays longer than it must, which changes no count.
 
+Slices' windows are dealt by all their words but the last, so that windows and prefixes are counted after one shuffle and rare
+prefixes end there. A prefix has no more windows than its rarest word occurrences; only where all its words are hot
+it is dealt over SALTS groups, whose sums the ROLLUP adds up.
+
 Candidates and their parts have counts of `least` or more, so all that follows works on frequent phrases alone: joins of a
 candidate's parts, the lowest-scoring cut, candidates inside longer ones, ranks. Scores are exact: decimals of 38 digits hold
 a million times the square of a count up to 10**15. Frequent words meet no group of all their phrases: counts are
@@ -19,9 +23,11 @@ besides text and lang are ignored.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -32,7 +38,10 @@ from .common import mapped, ranges, slices, stored, table, utf8
 
 LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 #: Bytes of text whose windows are counted at once; bits of the filter of frequent words.
-SLICE, BITS = 12 << 20, 1 << 26
+SLICE, BITS = 6 << 20, 1 << 26
+#: Words with more than one in HOT occurrences are hot, fewer than HOT; windows whose prefix is of hot words are dealt by SALTS.
+HOT, SALTS = 1000, 32
+Words = namedtuple("Words", "bits hot")
 _BREAK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?\n\x0b\x0c\r", b" \t"))
 
 
@@ -55,21 +64,25 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, np.searchsorted(offsets + np.arange(len(offsets)), starts, "right") - 1, follows
 
 
-def _counted(texts: pa.Array, langs: pa.Array, longest: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-    """(key, n): windows of a slice, as words joined by tabs (empty: padded) and the language."""
-    words, text, follows = words_of(*utf8(texts))
-    coded = words.dictionary_encode()
+def _counted(texts: pa.Array, langs: pa.Array, longest: int, words: Words | None) -> pa.RecordBatch:
+    """(key, n): windows of a slice, in order. A key is the salt, the words (empty where padded) and the language, joined by tabs."""
+    spans, text, follows = words_of(*utf8(texts))
+    coded = spans.dictionary_encode()
     code, v = coded.indices.to_numpy(), len(coded.dictionary) + 1
     tongues = langs.fill_null("und").dictionary_encode()
     tongue = tongues.indices.to_numpy()[text].astype(np.int64)
-    pair, of = np.unique(tongue * v + code, return_inverse=True)  # a word in a language
+    of, pair = pd.factorize(tongue * v + code)  # a word in a language
     spell = lambda c: coded.dictionary.take(pa.array(c, mask=c >= v - 1))
     name = lambda c: tongues.dictionary.take(pa.array(c))
-    known = np.ones(len(pair), bool)
-    if frequent is not None:
-        known = np.array([bool(frequent[h >> 6] >> np.uint64(h & 63) & np.uint64(1)) for h in map(bit_of, _joined([spell(pair % v)], name(pair // v)).to_pylist())], bool)
-    lead, open_ = [], np.ones(len(code), bool)
-    good = known[of]
+    known, hot, h = np.ones(len(pair), bool), np.zeros(len(pair), bool), np.zeros(len(pair), np.int64)
+    if words is not None:
+        own = _joined(spell(pair % v), name(pair // v)).to_pylist()
+        h = np.fromiter(map(hash_of, own), np.int64, len(own))
+        bit = h % (64 * len(words.bits))
+        known = (words.bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) > 0
+        hot = np.fromiter((w in words.hot for w in own), bool, len(own))
+    lead, open_, crowded = [], np.ones(len(code), bool), np.ones(len(code), bool)
+    good, common = known[of], hot[of]
     for d in range(longest):
         here = np.full(len(code), v - 1, np.int64)  # v - 1: none
         stays = open_[: len(code) - d] & good[d:]
@@ -78,23 +91,36 @@ def _counted(texts: pa.Array, langs: pa.Array, longest: int, frequent: np.ndarra
         open_ = np.append(stays, np.zeros(min(d, len(code)), bool))
         here[: len(stays)][stays] = code[d:][stays]
         lead.append(here)
+        if d < longest - 1:
+            crowded &= open_ & np.append(common[d:], np.zeros(min(d, len(code)), bool))
     key = tongue
     for here in lead[:-1]:  # numbers of distinct prefixes, so that no product overflows
-        key = np.unique(key * v + here, return_inverse=True)[1]
-    _, first, n = np.unique(key * v + lead[-1], return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([_joined([spell(x[first]) for x in lead], name(tongue[first])), pa.array(n)], names=["key", "n"])
+        key = pd.factorize(key * v + here)[0].astype(np.int64)
+    number = pd.factorize(key * v + lead[-1])[0]
+    n = np.bincount(number)
+    first = np.zeros(len(n), np.int64)
+    first[number] = np.arange(len(number))  # any of a window's places
+    # rows that are sent to one place lie in order, so that a compressed block repeats what neighbours share
+    order = np.zeros(v, np.int64)
+    order[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(1, v)
+    sort = np.argsort(order[lead[0][first]] * v + order[lead[min(1, longest - 1)][first]])
+    first, n = first[sort], n[sort]
+    behind = of[np.minimum(first + longest - 1, len(of) - 1)]
+    salt = np.where(crowded[first] & (longest > 1), 1 + np.where(open_[first], h[behind] % SALTS, 0), 0)
+    salt = pa.array(["", *map(str, range(1, SALTS + 1))]).take(pa.array(salt))
+    return pa.RecordBatch.from_arrays([_joined(salt, *(spell(x[first]) for x in lead), name(tongue[first])), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-def _joined(words: list[pa.Array], lang: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(*words, lang, "\t", null_handling="replace", null_replacement="")
+def _joined(*words: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*words, "\t", null_handling="replace", null_replacement="")
 
 
-def bit_of(key: str) -> int:
-    return xxhash.xxh64_intdigest(key, 12) % BITS
+def hash_of(key: str) -> int:
+    return xxhash.xxh64_intdigest(key, 12) >> 1
 
 
-def windows(docs: DataFrame, longest: int, frequent=None) -> DataFrame:
-    """docs (text, lang): (key, n), n summed over all documents. frequent: a broadcast filter."""
+def windows(docs: DataFrame, longest: int, words=None) -> DataFrame:
+    """docs (text, lang): (key, n) of slices of the documents. words: broadcast Words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -111,51 +137,66 @@ def windows(docs: DataFrame, longest: int, frequent=None) -> DataFrame:
 
     def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         full = pa.Table.from_batches(held).combine_chunks()
-        return _counted(full.column(0).chunk(0), full.column(1).chunk(0), longest, frequent and frequent.value)
+        return _counted(full.column(0).chunk(0), full.column(1).chunk(0), longest, words and words.value)
 
-    return mapped(docs.select("text", "lang"), run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text", "lang"), run, "key string, n long")
 
 
-def frequent_words(docs: DataFrame, least: int):
-    """The broadcast filter of (word, language) with so many occurrences."""
+def frequent_words(docs: DataFrame, least: int, n_bits: int = BITS):
+    """Broadcast Words of the words, each in its language, with so many occurrences."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array([bit_of(k) for k in batch.column(0).to_pylist()], np.int64)
+            h = np.array([hash_of(k) for k in batch.column(0).to_pylist()], np.int64) % n_bits
             yield pa.RecordBatch.from_arrays([pa.array(h >> 6), pa.array((np.uint64(1) << (h & 63).astype(np.uint64)).view(np.int64))], names=["cell", "bit"])
 
-    # at most BITS / 64 rows reach the driver
-    cells = mapped(windows(docs, 1).where(F.col("n") >= least).select("key"), bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.uint64)
+    counts = windows(docs, 1).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = stored(counts.select(F.substr("key", F.lit(2)).alias("word"), "n"))
+    # at most n_bits / 64 rows, and HOT words, reach the driver
+    cells = mapped(counts.select("word"), bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(n_bits // 64, np.uint64)
     out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    return docs.sparkSession.sparkContext.broadcast(out)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = frozenset(r.word for r in counts.where(F.col("n") * HOT > total).select("word").collect())
+    return docs.sparkSession.sparkContext.broadcast(Words(out, hot))
 
 
-def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, n_bits: int = BITS) -> DataFrame:
     """docs (text, lang): (lang, phrase, size, f) of all phrases of up to longest words that occur least times or more, and
     of each language the number of its words under size 0."""
-    counts = windows(docs, longest, frequent_words(docs, least))
-    parts = F.split("key", "\t", longest + 1)
-    lead = [f"w{d}" for d in range(1, longest + 1)]
-    wide = counts.select(F.element_at(parts, longest + 1).alias("lang"), *(F.element_at(parts, d).alias(w) for d, w in enumerate(lead, 1)), "n")
-    full = wide.where((F.col("n") >= least) & (F.col(lead[-1]) != "")).select("lang", F.concat_ws(" ", *lead).alias("phrase"), F.lit(longest).alias("size"), F.col("n").alias("f"))
-    # a level of the rollup is known by the columns that are summed over: the last has all but the longest windows
-    up = wide.rollup("lang", *lead[:-1]).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    prefix = F.substring_index("key", "\t", longest)  # salt and all words but the last
+    # dealt by prefix: counts of windows and of prefixes need no other shuffle
+    rows = windows(docs, longest, frequent_words(docs, least, n_bits)).repartition(prefix).select(prefix.alias("prefix"), F.substr("key", F.length(prefix) + 2).alias("rest"), "n")
+    counts = rows.groupBy("prefix", "rest").agg(F.sum("n").alias("n"))
+    last = F.substring_index("rest", "\t", 1)
+    lang = F.substr("rest", F.length(last) + 2)
+    parts = F.split("prefix", "\t")
+    lead = [f"w{d}" for d in range(1, longest)]
+    words = [F.element_at(parts, d).alias(w) for d, w in enumerate(lead, 2)]
+    # one condition on count and words: a part of it alone would be pushed below the count, which both sides share
+    often = F.when(F.col("n") >= least, last != "").otherwise(F.lit(False))
+    full = counts.where(often).select(lang.alias("lang"), *words, last.alias("last"), "n").select("lang", F.concat_ws(" ", *lead, "last").alias("phrase"), F.lit(longest).alias("size"), F.col("n").alias("f"))
+    prefixes = counts.groupBy("prefix", lang.alias("lang")).agg(F.sum("n").alias("f")).select("lang", F.element_at(parts, 1).alias("salt"), *words, "f")
+    # a prefix that is too rare is known here, as all its windows are, and only its first word matters
+    rare = (F.col("salt") == "") & (F.col("f") < least) & F.lit(longest == 3)
+    prefixes = prefixes.select("lang", *lead[:1], *(F.when(rare, F.lit("")).otherwise(F.col(w)).alias(w) for w in lead[1:]), "f")
+    columns = ", ".join(lead)
+    up = docs.sparkSession.sql(f"SELECT lang, {columns}, sum(f) f, grouping_id() level FROM {{p}} GROUP BY lang, ROLLUP({columns})", p=prefixes)
     size = sum(F.when(F.col("level").bitwiseAND(F.lit(1 << longest - 1 - d)) == 0, 1).otherwise(0) for d in range(1, longest))
-    up = up.where(F.col("level") < (1 << longest) - 1).withColumn("size", size)
-    last = F.element_at(F.array(*lead[:-1]), F.greatest("size", F.lit(1)))
-    up = up.where((F.col("size") == 0) | (F.col("f") >= least) & (last != ""))
-    named = F.concat_ws(" ", *(F.when(F.col("size") >= d, F.col(w)) for d, w in enumerate(lead[:-1], 1)))
+    up = up.withColumn("size", size)
+    end = F.element_at(F.array(*lead), F.greatest("size", F.lit(1)))
+    up = up.where((F.col("size") == 0) | (F.col("f") >= least) & (end != ""))
+    named = F.concat_ws(" ", *(F.when(F.col("size") >= d, F.col(w)) for d, w in enumerate(lead, 1)))
     return full.unionByName(up.select("lang", named.alias("phrase"), "size", "f"))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cover: int = COVER, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cover: int = COVER, top: int = TOP, n_bits: int = BITS) -> DataFrame:
     """docs (text, lang): (lang, rank, phrase, a, l, r, n, score), the top phrases of each language.
 
     A phrase of two words or more scores floor(10**6 * a * a / (l * r)) at its lowest-scoring cut, l and r being the counts of
     the cut's sides. It goes if a longer candidate that holds it has cover percent of its count or more.
     """
-    grams = stored(phrases(docs, longest, least))
+    grams = stored(phrases(docs, longest, least, n_bits))
     counts = stored(grams.where("size > 0").select(F.col("lang").alias("of_lang"), F.col("phrase").alias("part"), F.col("f").alias("of_part")))
     candidates = grams.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     some = lambda i, n: F.array_join(F.slice("w", i, n), " ")

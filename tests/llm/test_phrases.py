@@ -58,11 +58,11 @@ def test_equals_brute_force(spark, monkeypatch, longest, cover, top):
     assert len(got) == len(set(got)) and set(got) == brute(docs, longest, cover=cover, top=top)
 
 
-def test_shared_bits_change_nothing(spark, monkeypatch):
-    docs = corpus(9, 120)
+def test_shared_bits_change_nothing(spark):
+    docs = corpus(9) + [("hot pair of words. " * 12, "fr"), ("new york, " * 11 + "york " * 5, "en")]
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA)
-    monkeypatch.setattr(pm, "bit_of", lambda key: len(key) % 7)
-    assert {tuple(r) for r in pm.collocations(df).collect()} == brute(docs)
+    want = brute(docs)
+    assert want and {tuple(r) for r in pm.collocations(df, n_bits=64).collect()} == want
 
 
 def test_words_of():
