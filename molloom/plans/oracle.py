@@ -116,6 +116,12 @@ SELECT id sample_id, x.bb_id bb_1, y.bb_id bb_2, v.bb_id bb_3 FROM s, z JOIN k x
     "reaction_scheme": f"WITH {SCHEME} SELECT p_partkey, x3 product, CASE WHEN x3 IS NULL THEN 'FAIL' ELSE 'OK' END status, concat_ws('>', x1, x2, CASE WHEN NOT done THEN x3 END) trace FROM s3",
     "scheme_with_stops": """SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand || '+a' || CASE WHEN p_size = 45 THEN '' ELSE '=c!' END WHEN p_size > 30 THEN p_brand WHEN p_size > 20 THEN 'b-' || p_brand || '=c!' ELSE p_brand END product,
 'OK' status, CASE WHEN p_size = 45 THEN 2 WHEN p_size > 40 OR p_size BETWEEN 21 AND 30 THEN 3 ELSE 1 END n_steps FROM part""",
+    "scheme_products": f"""WITH {BLOCKS}, r AS (SELECT x.bb_id bb1, y.bb_id bb2, z.bb_id bb3 FROM b x, b y, b z WHERE x.cycle = 'BB1' AND y.cycle = 'BB2' AND z.cycle = 'BB3'),
+s1 AS (SELECT *, CASE WHEN bb2 LIKE 'S%' THEN CASE WHEN bb1 LIKE 'Brand#1%' THEN 's' || bb1[8:] || '.' || bb2 END WHEN bb2 LIKE 'P%' THEN bb1 ELSE bb1[6:] || '-' || bb2 END p1, bb2 LIKE 'P%' done FROM r),
+s2 AS (SELECT *, CASE WHEN p1 IS NULL THEN NULL WHEN done OR bb3 LIKE '4%' THEN p1 WHEN bb3[-1] IN ('0', '5') THEN CASE WHEN p1 LIKE '%E' THEN p1[:-2] || ':' || bb3 END ELSE p1 || '/' || bb3 END p2 FROM s1),
+s3 AS (SELECT *, CASE WHEN NOT done AND p2 LIKE '%-%' THEN replace(p2, '-', '_') ELSE p2 END p3 FROM s2)
+SELECT bb1, bb2, bb3, coalesce(p3, 'FAIL') full_smiles, CASE WHEN p3 IS NULL THEN 'FAIL' ELSE 'OK' END status,
+  (CASE WHEN done OR p1 IS NULL THEN 0 ELSE 1 END + CASE WHEN done OR p2 IS NULL OR bb3 LIKE '4%' THEN 0 ELSE 1 END + CASE WHEN NOT done AND p2 LIKE '%-%' THEN 1 ELSE 0 END)::INT n_steps FROM s3""",
     "status_split": f"WITH {SCHEME} SELECT CASE WHEN x3 IS NULL THEN 'FAIL' ELSE 'OK' END status, count(*) n, count(x3) n_products FROM s3 GROUP BY 1",
     "deprotection_variants": "WITH v AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') w FROM conversations) SELECT conv_id, turn, 0 n, w[1] variant FROM v UNION ALL SELECT conv_id, turn, 1, w[len(w)] FROM v WHERE len(w) > 1",
     "partner_sample": "SELECT p_brand, least(20, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size FROM part))) n_partners, least(20, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size FROM part))) n_distinct FROM (SELECT DISTINCT p_brand FROM part)",

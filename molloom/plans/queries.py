@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import cluster, filters, neighbour_graph as graphs, popcount_index, profile, selection, similarity, transform
+from molloom.operators import cluster, filters, popcount_index, profile, selection, similarity, transform
+from molloom.operators import neighbour_graph as graphs
+from molloom.plans import enumeration
+from molloom.sources import schemes
 
 REGISTERED: dict = {}
 
@@ -357,6 +360,23 @@ def scheme_with_stops(spark, sf):
     return out.select("p_partkey", "product", "status", F.size("intermediates").alias("n_steps"))
 
 
+#: A scheme in the JSON form: named and numbered reactants, ordered conditions, a named reaction, an end and skipped steps.
+DEMO = r"""{"demo": {"reactants": ["brand", "kind", "size"], "steps": [
+  {"Reactants": ["brand", "kind"], "Rxns": {"^S": "short", "^P": "terminate", "default": "^Brand(.*)\\.(.*)$>>$1-$2"}},
+  {"Reactants": ["p", "r2"], "Rxns": {"^4": "product", "[05]$": ["never>>x", "^(.*)E\\.(.*)$>>$1:$2"], "default": "^(.*)\\.(.*)$>>$1/$2"}},
+  {"Reactants": ["p", "None"], "Rxns": {"-": "-(?=[A-Z])>>_", "product": "product"}}]},
+  "Named_Reactions": {"short": ["^Brand#1(.*)\\.(.*)$>>s$1.$2"]}}"""
+
+
+@query
+def scheme_products(spark, sf):
+    """All products of three block lists by a scheme in JSON."""
+    b = blocks(spark, sf).withColumn("smiles", F.col("bb_id"))
+    named = schemes.named_reactions(schemes.load_named(DEMO))
+    out = enumeration.enumerate_blocks(b, ["BB1", "BB2", "BB3"], schemes.load_scheme(DEMO, "demo"), named)
+    return out.select("bb1", "bb2", "bb3", "full_smiles", "status", F.size("intermediates").alias("n_steps"))
+
+
 @query
 def status_split(spark, sf):
     """Products by status."""

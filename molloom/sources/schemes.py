@@ -3,17 +3,42 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import tomllib
 
 
-def load_scheme(text_or_path: str, name: str) -> tuple[list, list | None]:
-    """(steps, reactants) of a named scheme in JSON text or a JSON file; an unknown name raises KeyError."""
+def _json(text_or_path: str) -> dict:
     try:
-        schemes = json.loads(text_or_path)
+        return json.loads(text_or_path)
     except json.JSONDecodeError:
         with open(text_or_path) as f:
-            schemes = json.load(f)
-    scheme = schemes[name]
+            return json.load(f)
+
+
+def load_named(text_or_path: str) -> dict:
+    """The named reactions of a scheme file."""
+    return _json(text_or_path).get("Named_Reactions", {})
+
+
+def save_scheme(text_or_path: str, name: str, scheme: dict, path: str) -> None:
+    """Writes a scheme file again with one scheme put in or replaced; all others stay as they are. The file appears whole or not at all."""
+    schemes = _json(text_or_path) | {name: scheme}
+    _checked(schemes[name])
+    with open(f"{path}.new", "w") as f:
+        json.dump(schemes, f, indent=4)
+    os.replace(f"{path}.new", path)
+
+
+def _checked(scheme: dict) -> None:
+    for step in scheme["steps"]:
+        if not isinstance(step["Rxns"], dict) or not 1 <= len(step["Reactants"]) <= 2:
+            raise ValueError(f"no step: {step}")
+
+
+def load_scheme(text_or_path: str, name: str) -> tuple[list, list | None]:
+    """(steps, reactants) of a named scheme in JSON text or a JSON file; an unknown name raises KeyError."""
+    scheme = _json(text_or_path)[name]
     return [(s["Reactants"], {c: [r] if isinstance(r, str) else r for c, r in s["Rxns"].items()}) for s in scheme["steps"]], scheme.get("reactants")
 
 
@@ -36,12 +61,16 @@ def parameters(given: dict, file: dict | None, defaults: dict) -> dict:
 
 
 def parameter_file(text: str) -> dict:
-    """`key: value` lines of a parameter file, without nesting: numbers, true and false, quoted or plain text; # starts a note."""
+    """`key: value` lines of a parameter file, without nesting: numbers, true and false, quoted or plain text; # starts a note at
+    the line's start or behind white space, and stands for itself within quotes."""
     out: dict = {}
     for line in text.splitlines():
-        key, colon, value = line.split("#")[0].partition(":")
+        if line.lstrip().startswith("#"):
+            continue
+        key, colon, value = line.partition(":")
         if colon and key.strip():
-            value = value.strip().strip("'\"")
+            quoted = re.match(r"""\s*(["'])(.*?)\1\s*(#.*)?$""", value)
+            value = quoted[2] if quoted else re.split(r"(?:^|\s)#", value)[0].strip()
             try:
                 out[key.strip()] = json.loads(value.lower() if value.lower() in ("true", "false", "null") else value)
             except json.JSONDecodeError:
