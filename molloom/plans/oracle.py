@@ -80,6 +80,17 @@ g(i, ch, ok) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
  SELECT n.i, CASE WHEN n.ok THEN list_append(n.ch, n.i) ELSE n.ch END, n.ok FROM (SELECT o.i, g.ch,
   NOT EXISTS (SELECT 1 FROM o x WHERE list_contains(g.ch, x.i) AND len(list_intersect(x.fp, o.fp)) / (len(x.fp) + len(o.fp) - len(list_intersect(x.fp, o.fp))) >= 0.45) ok FROM g JOIN o ON o.i = g.i + 1) n)
 SELECT vec_id, CASE WHEN ok THEN 'OK' ELSE 'sim' END reason FROM g JOIN o USING (i)""",
+    "diverse_walk": f"""WITH RECURSIVE {SPARSE},
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id DESC) i, vec_id, fp, label bb FROM (SELECT o.vec_id, o.fp, label, row_number() OVER (PARTITION BY o.fp ORDER BY o.vec_id DESC) k FROM o JOIN embeddings USING (vec_id)) WHERE k = 1),
+t AS (SELECT x.i xi, c.i ci, len(list_intersect(x.fp, c.fp)) n FROM p x JOIN p c ON c.i < x.i),
+pr AS MATERIALIZED (SELECT xi, ci, n >= 0.45 * (16 - n) hard FROM t WHERE n >= 0.25 * (16 - n)),
+g(i, ch, cur, reason, grp) AS (SELECT 0::BIGINT, []::STRUCT(i BIGINT, g INT, bb INT)[], 0, ''::VARCHAR, -1 UNION ALL
+ SELECT n.i, CASE WHEN n.reason = 'OK' THEN list_append(n.ch, struct_pack(i := n.i, g := n.grp, bb := n.bb)) ELSE n.ch END, n.cur + CASE WHEN n.reason = 'OK' AND n.og = -1 THEN 1 ELSE 0 END, n.reason, n.grp
+ FROM (SELECT p.i, p.bb::INT bb, g.ch, g.cur, v.og, CASE WHEN v.used >= 30 THEN 'bbusage' WHEN v.rej THEN 'sim' ELSE 'OK' END reason,
+   CASE WHEN v.used >= 30 THEN -1 WHEN NOT v.rej AND v.og = -1 THEN g.cur ELSE v.og END grp
+  FROM g JOIN p ON p.i = g.i + 1, LATERAL (SELECT len(list_filter(g.ch, lambda c: c.bb = p.bb)) used, coalesce(bool_or(hard), false) OR count(*) >= 2 rej, coalesce(max_by(sg, ci), -1) og
+   FROM (SELECT pr.ci, pr.hard, s.g sg FROM (SELECT unnest(g.ch) s) u JOIN pr ON pr.xi = p.i AND pr.ci = u.s.i)) v) n)
+SELECT vec_id, reason, grp::BIGINT "group" FROM g JOIN p USING (i)""",
     "usage_cap": "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 THEN 'OK' ELSE 'bbusage' END reason FROM orders",
     "scaffold_groups": "SELECT p_type, p_partkey, count(*) OVER t n_rows, min(p_partkey) OVER t first_row FROM part WINDOW t AS (PARTITION BY p_type)",
     "choose_compounds": """WITH m AS (SELECT p_brand, p_type main_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) r FROM part GROUP BY p_brand, p_type) WHERE r = 1)
