@@ -9,7 +9,7 @@ has been seen); every STEP tokens the weights move along the gradient of the cod
 distinct words are hashed and looked up once.
 
 Tokens. Three experts give a token's probability: its symbols; its count in the corpus; and how often it followed the
-two words before it (where that is SURE, the symbols are left out). Their weights, by how often those two words were seen, are refined after every FEW tokens by
+two words before it. Every token is coded by its symbols, whatever the others say. The experts' weights, by how often those two words were seen, are refined after every FEW tokens by
 each expert's share in what was coded. Counts of tokens and word triples grow with the corpus and are never gathered
 in one place: a slice of documents sends each of its distinct keys once, dealt over buckets by hash, and gets totals back.
 A training text is scored by the counts of the others: its own tokens are taken off. (The slots, of fixed size, count
@@ -48,8 +48,6 @@ STEP, GROUP = 16, 1 << 11
 SLICE, BUCKET = 6 << 20, 32 << 20
 #: Tokens between two updates of the experts' weights; their first weights without and with known words before.
 FEW = 16
-#: A token that the two words before it predict with this share is not spelled: its symbols would add next to nothing.
-SURE = 0.05
 EXPERTS = np.array([[0.8, 1.2, 0.0], [0.5, 0.8, 0.2], [0.5, 0.8, 0.2], [0.5, 0.8, 0.3]])
 RANGES = 32
 
@@ -352,8 +350,9 @@ class Keys:
 
 
 def _place(key: np.ndarray, buckets: int) -> np.ndarray:
-    """bucket << 32 | 32 bits of the place within it; ascends with the key. Up to 65,536 buckets."""
-    return ((key >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(16)
+    """bucket << 32 | 32 bits of the place within it, of key * buckets >> 32; ascends with the key. Up to 2 ** 31 buckets."""
+    n = np.uint64(buckets)
+    return (key >> np.uint64(32)) * n + ((key & np.uint64(0xFFFFFFFF)) * n >> np.uint64(32))
 
 
 def _sent(buckets: int):
@@ -509,7 +508,7 @@ def known_chances(keys: Keys, learn: np.ndarray, c: np.ndarray, two: np.ndarray,
 
 
 def token_scores(keys: Keys, cost: np.ndarray, word: np.ndarray, follow: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """log2 probability of each text. cost: of each token's symbols (-inf where it is not spelled); the others as of known_chances()."""
+    """log2 probability of each text. cost: of each token's symbols; the others as of known_chances()."""
     docs, size = len(keys.tokens), keys.tokens
     chance = np.column_stack([np.where(cost < -1000, 0.0, np.exp2(cost)), word, follow])
     share = np.tile(EXPERTS, (docs, 1, 1)).reshape(-1, 3)
@@ -552,7 +551,7 @@ def scores(df: DataFrame, held_out, text: str = "text") -> DataFrame:
     texts, train_words, all_words = rows.agg(add(learn), add(F.zip_with("n_words", learn, lambda a, b: a * b)), add("n_words")).first()
     tokens = train_words + texts
     tree = Tree(pairs.reshape(256, 256))
-    buckets = int(min(max(4, -(-all_words * 12 // BUCKET)), 65_536))
+    buckets = int(max(4, -(-all_words * 12 // BUCKET)))  # BUCKET bytes of keys each, however many words there are
 
     sent = mapped(rows.select("slice", "held", "n_words", "text"), _sent(buckets), "bucket int, slice long, words binary, word_counts binary, grams binary, gram_counts binary")
     back = stored(mapped(sent.repartition("bucket").sortWithinPartitions("bucket"), _counted, BACK))
@@ -574,9 +573,7 @@ def scores(df: DataFrame, held_out, text: str = "text") -> DataFrame:
                 word, follow, seen = known_chances(keys, learn, c, two, three, tokens, texts)
                 entries = np.full(len(keys.token_doc), len(words.distinct))
                 entries[keys.word_at] = words.code
-                spelled = follow < SURE
-                cost = np.full(len(entries), -np.inf)
-                cost[spelled] = symbol_costs(shared.value, tree, words, entries[spelled], np.bincount(keys.token_doc[spelled], minlength=len(n_words)))
+                cost = symbol_costs(shared.value, tree, words, entries, keys.tokens)
                 bits = token_scores(keys, cost, word, follow, seen)
                 base = np.bincount(keys.doc, np.log10(c[keys.word] + 1.0), len(n_words)) + np.log10(texts + 1) - (n_words + 1) * whole
                 known = np.bincount(keys.doc, c[keys.word] > 0, len(n_words)).astype(np.int64) + (texts > 0)
