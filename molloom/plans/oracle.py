@@ -104,6 +104,9 @@ SELECT label, arg_min(vec_id, (d, vec_id)) medoid FROM d GROUP BY label""",
     "property_filter_stats": f"SELECT coalesce({FAIL}, 'kept') first_fail, count(*) n FROM part GROUP BY 1",
     "kept_and_removed": f"SELECT p_partkey, {FAIL} IS NOT NULL OR regexp_matches(p_name, 'e$|^a|1') removed, {FAIL} first_fail, CASE WHEN p_name LIKE '%e' THEN 0 WHEN p_name LIKE 'a%' THEN 1 WHEN p_name LIKE '%1%' THEN 2 END pattern FROM part",
     "substructure_counts": "SELECT CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 0 WHEN text LIKE '%!!%' THEN 1 WHEN text LIKE '%the%' THEN 2 WHEN text LIKE '%que%' THEN 3 END pattern, count(*) n FROM documents GROUP BY 1",
+    "pattern_table": """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) p FROM benchmark), p AS MATERIALIZED (SELECT p FROM w WHERE regexp_full_match(p, '[a-z]{6,}')),
+m AS MATERIALIZED (SELECT doc_id, p FROM documents, p WHERE contains(text, p)), f AS (SELECT p, count(*) n FROM (SELECT min(p) p FROM m GROUP BY doc_id) GROUP BY p)
+SELECT m.p pattern, count(*) n_texts, any_value(coalesce(n, 0))::BIGINT n_first FROM m LEFT JOIN f USING (p) GROUP BY m.p""",
     "pattern_groups": "SELECT doc_id, lang FROM documents WHERE (text LIKE '%the%' OR text LIKE '%que%') AND text LIKE '%an%' AND NOT regexp_matches(text, '[0-9]') AND text NOT LIKE '%!!%'",
     "named_block_lists": """WITH l AS (SELECT unnest(CASE WHEN regexp_matches(p_name, 'o|a') AND p_name LIKE '%e%' AND p_name NOT LIKE 's%' THEN ['BB1', 'BB2'] ELSE [] END) list, p_partkey FROM part
 UNION ALL SELECT 'BB3', p_partkey FROM part WHERE NOT regexp_matches(p_name, '[aeiou]{2}') AND p_name NOT LIKE '%x%')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import cluster, filters, popcount_index, profile, selection, similarity, transform
+from molloom.operators import cluster, filters, patterns, popcount_index, profile, selection, similarity, store, transform
 from molloom.operators import neighbour_graph as graphs
 from molloom.plans import enumeration
 from molloom.sources import schemes
@@ -223,6 +223,18 @@ def substructure_counts(spark, sf):
     return read(spark, sf, "documents").groupBy(p.alias("pattern")).agg(F.count("*").alias("n"))
 
 
+@query
+def pattern_table(spark, sf):
+    """Every long word of the benchmark as a pattern: documents that hold it, and those of which it is the first."""
+    words = read(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("pattern")).where(F.col("pattern").rlike("^[a-z]{6,}$")).distinct()
+    table = transform.number_rows(words, [F.col("pattern")], "number")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = store.kept(patterns.matches(docs, table, "doc_id"))
+    first = found.groupBy("key").agg(F.min("number").alias("number")).groupBy(F.col("number").alias("of")).agg(F.count("*").alias("n_first"))
+    every = found.groupBy("number").agg(F.count("*").alias("n_texts")).join(first, F.col("number") == F.col("of"), "left")
+    return table.join(every, "number").select("pattern", "n_texts", F.coalesce("n_first", F.lit(0)).cast("long").alias("n_first"))
+
+
 @query
 def pattern_groups(spark, sf):
     """documents that hold one of two words and a third and none of the excluded."""
