@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from molloom.operators.store import kept
 from molloom.operators.transform import number_rows
 
 
+#: Undecided rows, and links among them, that one task decides in their order at the end of the rounds.
+TAIL_ROWS, TAIL_LINKS = 20_000, 1_000_000
+
+
+def _tail(left: DataFrame, live: DataFrame, order: DataFrame) -> DataFrame:
+    """The rows of left that the ordered walk chooses, by one task. live (better, worse): all links among them."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema)
+        chosen: dict = {}
+        for _, links in groupby(sorted(zip(*(rows.column(c).to_pylist() for c in ("at", "row", "better"))), key=itemgetter(0)), itemgetter(0)):
+            links = list(links)
+            if not any(better in chosen for _, _, better in links):
+                chosen[links[0][1]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(chosen), schema.field("row").type)], names=["row"])
+
+    numbered = number_rows(order.join(left, "row", "left_semi"), ["o"], "at").select("row", "at")
+    tied = numbered.join(live.select(F.col("worse").alias("row"), "better"), "row", "left").select("at", "row", "better")
+    schema = to_arrow_schema(tied.schema)
+    return kept(tied.coalesce(1).mapInArrow(walk, left.schema))
+
+
+def _enough(order: DataFrame, left: DataFrame, chosen: DataFrame, n: int) -> bool:
+    """Whether n rows are chosen before the first undecided one, so that no later row matters."""
+    first = order.join(left.select("row"), "row", "left_semi").agg(F.min("o").alias("first"))
+    return order.join(chosen.select("row"), "row", "left_semi").join(F.broadcast(first), F.col("o") < F.col("first")).limit(n).count() >= n
+
+
 def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = None, strict_n: bool = False) -> DataFrame:
     """Directed sphere exclusion. rows (row, rank); pairs (a, b): rows too similar to be chosen together.
 
     In the order of rank (then row) a row is chosen unless it is too similar to one chosen before. Adds chosen
     ('Yes', 'No', 'Unknown'), group (number of the chosen row whose sphere it lies in, from 0; the last such sphere) and
     reason. Each round chooses all rows without an undecided or chosen better neighbour and rejects their worse
-    neighbours, which gives the walk's result. With n_chosen the walk ends after n_chosen + 1 choices (strict_n:
-    n_chosen), and later rows stay 'Unknown'.
+    neighbours, which gives the walk's result; once TAIL_ROWS rows or fewer are undecided, one task walks over them, so long
+    chains of rows that depend on each other do not take a round each. With n_chosen the walk ends after n_chosen + 1 choices
+    (strict_n: n_chosen), later rows stay 'Unknown', and the rounds stop as soon as these choices are certain.
     """
     order = rows.select("row", F.struct("rank", "row").alias("o"))
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -24,13 +58,17 @@ def sphere_exclusion(rows: DataFrame, pairs: DataFrame, n_chosen: int | None = N
     edges = kept(edges)
     left, chosen, live = kept(order.select("row")), None, edges
     while True:
+        if left.count() <= TAIL_ROWS and live.limit(TAIL_LINKS + 1).count() <= TAIL_LINKS:
+            last = _tail(left, live, order)
+            chosen = last if chosen is None else chosen.unionByName(last)
+            break
         blocked = live.select(F.col("worse").alias("row")).distinct()
         now = left.join(blocked, "row", "left_anti")
         chosen_now = kept(now)
         chosen = chosen_now if chosen is None else chosen.unionByName(chosen_now)
         gone = live.join(chosen_now.toDF("better"), "better", "left_semi").select(F.col("worse").alias("row")).distinct()
         left = kept(left.join(chosen_now, "row", "left_anti").join(gone, "row", "left_anti"))
-        if not left.limit(1).count():
+        if not left.limit(1).count() or n_chosen is not None and _enough(order, left, chosen, n_chosen + 1):
             break
         live = kept(live.join(left.toDF("better"), "better", "left_semi").join(left.toDF("worse"), "worse", "left_semi"))
     picked = order.join(chosen, "row")
@@ -56,7 +94,7 @@ def diverse_walk(rows: DataFrame, links: DataFrame, cap: int | None = None, max_
     cap chosen rows ('bbusage'), it has a hard link or max_sim similar ones to chosen rows ('sim'), or max_scaff scaffold
     links ('scaff'); a maximum of 0 counts as 1. Chosen rows with a similar one before them take its group, others found
     one; rows rejected for links take the group of the last link that rejects them, -1 stands for none. The walk ends
-    after n_chosen + 1 choices and at the first rank beyond limit; what comes later is 'Unknown'.
+    after n_chosen + 1 choices, the rounds with it, and at the first rank beyond limit; what comes later is 'Unknown'.
 
     A round decides all rows that no undecided better row can change: the cap-th chosen row of a block closes it, rows up
     to its cap-th row that is chosen or undecided are free of the cap. The best undecided row is always decided.
@@ -93,6 +131,8 @@ def diverse_walk(rows: DataFrame, links: DataFrame, cap: int | None = None, max_
         now = kept(rest.join(open_.distinct(), "row", "left_anti").select("row"))
         chosen = kept(chosen.unionByName(now))
         left = kept(rest.join(now, "row", "left_anti"))
+        if n_chosen is not None and _enough(place, left, chosen, n_chosen + 1):
+            break
 
     order_of = place.join(chosen, "row")
     # the chosen row whose group a row takes: of similar ones the last; of scaffold links those from the scaffs-th on

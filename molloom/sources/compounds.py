@@ -109,8 +109,9 @@ def read_sdf(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
     if limit >= 0:
         rows = rows.orderBy("__place").limit(limit)
     rows = number_rows(rows, ["__place"], "record")
-    tail = F.regexp_replace(F.substring_index("value", "M  END", -1), r"\n>", "\n\n>")
-    found = F.regexp_extract_all(tail, F.lit(r"(?s)>[^<\n]*<([^>\n]+)>[^\n]*\n(.*?)(?=\n\n|\n*$)"), 0)
+    # only a line `> ... <name>` is a header: values may start with, or hold, such a sign
+    tail = F.regexp_replace(F.substring_index("value", "M  END", -1), r"\n(?=>[^<\n]*<[^>\n]+>[^\n]*\n)", "\n\n")
+    found = F.regexp_extract_all(tail, F.lit(r"(?s)(?<=\n)>[^<\n]*<([^>\n]+)>[^\n]*\n(.*?)(?=\n\n|\n*$)"), 0)
     pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"<([^>\n]+)>", 1).alias("k"), F.rtrim(F.regexp_extract(x, r"(?s)>[^\n]*\n(.*)", 1)).alias("v")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])

@@ -37,3 +37,10 @@ def test_many_files_are_as_many_scans_as_headers(spark, tmp_path):
     df = compounds.read_folder(spark, str(tmp_path))
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
     assert {(r.bb_id, r.smiles) for r in df.collect()} == {(str(k), f"C{k}") for k in range(1000)}
+
+
+def test_values_that_hold_a_header_sign(spark, tmp_path):
+    block = "name\n  x\n\n  0  0  0 V2000\nM  END\n"
+    (tmp_path / "a.sdf").write_text(block + "> <A>\n> 5 mg\n>\n\n>  1 <B>\na > b\nsecond > line\n> <C>\nlast\n\n$$$$\n" + block + "> <A>\n<x>\n\n$$$$\n")
+    got = compounds.read_sdf(spark, str(tmp_path / "a.sdf")).orderBy("record").collect()
+    assert [r.props for r in got] == [{"A": "> 5 mg\n>", "B": "a > b\nsecond > line", "C": "last"}, {"A": "<x>"}]

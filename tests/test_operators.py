@@ -43,8 +43,10 @@ def walk(order, near, n=None):
     return out, chosen
 
 
-@pytest.mark.parametrize("n", [None, 3])
-def test_sphere_exclusion_is_the_walk(spark, n):
+@pytest.mark.parametrize("n, tail", [(None, selection.TAIL_ROWS), (None, 12), (3, -1)])
+def test_sphere_exclusion_is_the_walk(spark, monkeypatch, n, tail):
+    """Rounds until so many rows are left for one task."""
+    monkeypatch.setattr(selection, "TAIL_ROWS", tail)
     rows = sets(seed=5)
     near = {i: {j for j in rows if j != i and jaccard(rows[i], rows[j]) >= 0.4} for i in rows}
     ranks = {i: random.Random(i).randrange(20) for i in rows}
