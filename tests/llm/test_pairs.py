@@ -6,6 +6,7 @@ import xxhash
 
 from molloom.llm import simhash_pigeonhole as sp
 from molloom.llm import winnow_decontamination as wd
+from molloom.llm import components as components_
 from molloom.llm.components import components
 
 from .data import CASES, frame, made
@@ -62,7 +63,9 @@ def test_links_reach_what_all_pairs_reach(spark, partitions, hot):
     assert got == want and len(want) > 100
 
 
-def test_components(spark):
+@pytest.mark.parametrize("base", [components_.BASE, -1])
+def test_components(spark, monkeypatch, base):
+    monkeypatch.setattr(components_, "BASE", base)
     r = np.random.default_rng(3)
     links = [(i, i + 1) for i in range(60)] + [(int(a) + 100, int(b) + 100) for a, b in r.integers(0, 80, (50, 2))] + [(900, 900)]
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
