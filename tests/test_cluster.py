@@ -90,3 +90,23 @@ def test_block_lists(spark):
     out = cluster.cluster_blocks(df, {"BB1": 3, "BB2": 4}, 400.0, starts=1).collect()
     assert {(x.cycle, x.bb_id) for x in out} == {x[:2] for x in rows if x[2] <= 400 and x[3]}
     assert {c: len({x.clustnum for x in out if x.cycle == c}) for c in ("BB1", "BB2")} == {"BB1": 3, "BB2": 4}
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from molloom.operators.models import CycleKMeans, CycleKMeansModel
+
+    rows = vectors(7, ["a", "b"], 40)
+    df = frame(spark, [*rows, ("c", 900, [0.0] * 6), ("a", 901, None)])
+    model = CycleKMeans(row="id", vector="v", k=4, starts=1, seed=5).fit(df.where("cycle <> 'c'"))
+    path = f"file://{tmp_path}/model"
+    model.write().overwrite().save(path)
+    again = CycleKMeansModel.load(path)
+    want = {r.id: r.clustnum for r in model.transform(df).collect()}
+    assert again.uid == model.uid and {r.id: r.clustnum for r in again.transform(df).collect()} == want
+    assert want[900] is None and want[901] is None and len(set(want.values())) == 5 and len(want) == 82
+    assert again.medoids(df).count() == 8
+    whole = Pipeline(stages=[model]).fit(df)
+    whole.write().overwrite().save(f"file://{tmp_path}/pipeline")
+    assert {r.id: r.clustnum for r in PipelineModel.load(f"file://{tmp_path}/pipeline").transform(df).collect()} == want
