@@ -4,10 +4,10 @@ import random
 
 import pytest
 
-from molloom.llm import line_chunks, simhash_pigeonhole
+from molloom.llm import line_chunks, near_copies
 
 from .test_models import text
-from .test_pairs import brute, roots, simhash
+from .test_pairs import brute, roots
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -39,8 +39,8 @@ def test_stages(spark, tmp_path):
     lines = line_chunks.brute_force(kept)
     kept = [(d, lines[d][0]) for d, _ in kept if not lines[d][1] or lines[d][0].strip(" ")]
 
-    prints = {d: simhash(t) for d, t in kept}
-    root = roots([(a, b) for a in prints for b in prints if a <= b and (prints[a] ^ prints[b]).bit_count() <= simhash_pigeonhole.DISTANCE])
+    sets = {d: near_copies.shingles(t) for d, t in kept}
+    root = roots([(a, b) for a in sets for b in sets if a <= b and (sets[a] == sets[b] or near_copies.similar(sets[a], sets[b]))])
     kept = [(d, t) for d, t in kept if root[d] == d]
 
     found = brute(kept, items)
@@ -51,6 +51,13 @@ def test_stages(spark, tmp_path):
     assert set(range(90)) & set(out) and not {101, 102, 103, 120, 121, 122, 130, 131, 132, 133} & set(out)
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a\nb\n"), (2, "x\ny\na\nb\n"), (2, "p\nq\nr\ns\n"), (3, "a\nb\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.STAGES[1][1](spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out) == [(1, "a\nb\n", 4), (2, "p\nq\nr\ns\n", 8), (2, "x\ny\n", 4)]
+
+
 def test_empty_table(spark, tmp_path):
     rows, items = made_docs()
     sf = f"file://{tmp_path}"
