@@ -58,6 +58,34 @@ def number_rows(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     return dealt.join(before, F.col("__part") == F.col("__of")).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__of", "__first", "__before")
 
 
+def until_passing(df: DataFrame, order: list, passing: Column, n: int) -> tuple[DataFrame, int]:
+    """The rows in order up to the n-th that passes, all if fewer pass, with `passes`; and how many ranges of the order were looked at.
+
+    Ranges are dealt once. passing, which may be costly, is evaluated on the first range, then on twice as many each time, until n
+    rows pass; only the range that holds the n-th is counted row by row.
+    """
+    dealt = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
+    parts = [r[0] for r in dealt.select("__part").distinct().orderBy("__part").collect()]  # a row a range
+    done, looked, total, last = [], 0, 0, None
+    while looked < len(parts) and total < n:
+        some = parts[looked : max(1, 2 * looked)]
+        seen = kept(dealt.where(F.col("__part").between(some[0], some[-1])).withColumn("passes", F.coalesce(passing, F.lit(False))))
+        done.append(seen)
+        looked += len(some)
+        for part, count in seen.groupBy("__part").agg(F.count_if("passes")).orderBy("__part").collect():
+            if total < n <= total + count:
+                last = (part, n - total)
+            total += count
+    if not done or n <= 0:
+        return df.limit(0).withColumn("passes", F.lit(False)), 0
+    rows = reduce(DataFrame.unionByName, done)
+    if last is not None:
+        part, more = last
+        ended = rows.where(F.col("__part") == part).where("passes").select("__at").orderBy("__at").limit(more).agg(F.max("__at")).first()[0]
+        rows = rows.where((F.col("__part") < part) | (F.col("__part") == part) & (F.col("__at") <= ended))
+    return rows.drop("__part", "__at"), looked
+
+
 def sample_rows(df: DataFrame, key: str, share: float) -> DataFrame:
     """About so large a share of the rows, chosen by a hash of their key: the same rows at any partitioning."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -140,6 +140,27 @@ def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("append").option("header", True).option("sep", sep).csv(path)
 
 
+def append_once(df: DataFrame, path: str, batch: int, keys: list[str] | None = None) -> None:
+    """Adds a batch to a folder of Parquet files, once: a batch that comes again replaces its own files and changes nothing else.
+
+    With keys only the first row of each key stays: of a batch its least by the other columns, and none that a batch with a lower
+    number has. So a replay of any batch, in any state of the folder, gives the rows that it gave before.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in (keys or [])]
+    if keys:
+        df = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*(F.col("__r")[c].alias(c) if c in rest else c for c in df.columns)) if rest else df.distinct()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        before = [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < batch]
+        if before:
+            known = spark.read.option("basePath", path).parquet(*before).select(*(F.col(k).alias(f"__{k}") for k in keys))
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            df = df.join(known, same, "left_anti")
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def export_lists(df: DataFrame, path: str, name: str = "list", key: str = "bb_id") -> None:
     """CSV files in one folder for each list, each id of a list once (its least row by the other columns)."""
     rest = [c for c in df.columns if c not in (name, key)]
