@@ -219,3 +219,33 @@ def test_no_training_rows_and_empty_tables(spark):
     rows = cm.scores(df, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(3, 0, 0), (1, 0, 0)] and rows[0].base_score == 0
     assert cm.scores(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_totals_of_a_bucket_take_little_memory():
+    """N-grams of several slices against a plain count, in at most 48 bytes each at once besides what comes in and goes out."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    slices = [np.sort(r.choice(1 << 32, 400_000, replace=False)) for _ in range(2)]
+    slices.append(np.unique(np.concatenate([slices[0][::3], slices[1][::5]])))
+    asks = [r.integers(0, 8, len(k)).astype("<i4") for k in slices]
+    packed = lambda x: cm._pack(x.tobytes())
+    words = np.array([[1, 2], [3, 4]], "<u8")
+    rows = [(7, s, words.tobytes(), packed(np.array([s, 0], "<i4")), packed(np.diff(k, prepend=0).astype("<u4")), packed(a)) for s, (k, a) in enumerate(zip(slices, asks))]
+    names = ["bucket", "slice", "words", "word_counts", "grams", "gram_counts"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
+    tracemalloc.start()
+    out = pa.Table.from_batches(cm._counted(iter([batch]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * sum(map(len, slices)) + 2 * batch.nbytes
+
+    total = Counter()
+    for k, a in zip(slices, asks):
+        total.update(dict(zip(k.tolist(), (a >> 1).tolist())))
+    assert [x["slice"] for x in out] == [0, 1, 2] and [x["n_distinct"] for x in out] == [1, 0, 0]
+    for x, k, a in zip(out, slices, asks):
+        want = [(g, total[g]) for g, m in zip(k.tolist(), a.tolist()) if total[g] >= 2 or total[g] == 1 and m & 1]
+        got = np.cumsum(cm._unpack(x["grams"], "<u4"), dtype=np.int64)
+        assert list(zip(got.tolist(), cm._unpack(x["gram_counts"], "<i8").tolist())) == want
+        assert cm._unpack(x["words"], "<i8").tolist() == [3, 0]
