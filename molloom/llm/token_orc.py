@@ -16,11 +16,11 @@ texts' hash (equal texts have equal ids, so every order of these is the same). T
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored, table, utf8
+from .common import mapped, shared_dir, slices, stored, table, utf8
 
 #: A run of white space that the faster encoder may not be able to split.
 LONG_SPACE = r"[\s\x0B\x{85}\p{Z}]{1000}"
@@ -37,16 +37,20 @@ BROADCAST_FILES = 100_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
 
 
+def special_tokens(json_path: str) -> list[str]:
+    """The vocabulary's added tokens, which the library takes out of texts as they are."""
+    with open(json_path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
+
+
 class Encoder:
-    """The tokenizers library beside, with a ranks file of the same vocabulary, a faster encoder for plain texts."""
+    """The tokenizers library beside, with a ranks file of the same vocabulary, a faster encoder for plain texts. The library is
+    loaded when a text needs it, so that most workers hold one vocabulary."""
 
-    def __init__(self, json_path: str, ranks_path: str | None):
+    def __init__(self, json_path: str, ranks_path: str | None, special: tuple[str, ...] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole, self.fast = Tokenizer.from_file(json_path), None
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = "|".join([*(r"\Q" + t + r"\E" for t in special), LONG_SPACE])
+        self.json_path, self.loaded, self.fast = json_path, None, None
+        self.odd = "|".join([*(r"\Q" + t + r"\E" for t in (special_tokens(json_path) if special is None else special)), LONG_SPACE])
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -55,26 +59,33 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @property
+    def whole(self):
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.json_path)
+        return self.loaded
+
     def library(self, text: str) -> list[int]:
         return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, each text's followed by the end id, and offsets."""
         texts = pc.fill_null(texts, "")
-        if self.fast is None:
-            lists = [x.ids for x in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        else:
-            odd = pc.match_substring_regex(texts, self.odd).to_pylist()
-            lists = [self.library(t) if o else self.fast(t) for t, o in zip(texts.to_pylist(), odd)]
-        for ids in lists:
+        odd = pc.match_substring_regex(texts, self.odd).to_pylist() if self.fast else [True] * len(texts)
+        lists = []
+        for text, o in zip(texts, odd):  # one text as Python numbers at a time
+            ids = (self.library if o else self.fast)(text.as_py())
             ids.append(end_id)
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64)
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1])), at
+            lists.append(np.array(ids, np.int32))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *lists]), at
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str, ranks_path: str | None) -> Encoder:
-    return Encoder(json_path, ranks_path)
+def encoder(json_path: str, ranks_path: str | None, special: tuple[str, ...] | None = None) -> Encoder:
+    return Encoder(json_path, ranks_path, special)
 
 
 def write(df: DataFrame, path: str, json_path: str, ranks_path: str | None = None, text: str = "text", end_id: int = 0) -> None:
@@ -83,7 +94,7 @@ def write(df: DataFrame, path: str, json_path: str, ranks_path: str | None = Non
     rows = df.select("doc_id", F.col(text).alias("text"), tie.alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = encoder(json_path, ranks_path), 0
+        encode, start = encoder(json_path, ranks_path, special), 0
         for batch in batches:
             for i, j in slices(utf8(batch.column(1))[0]):
                 ids, at = encode(batch.column(1).slice(i, j - i), end_id)
@@ -91,8 +102,9 @@ def write(df: DataFrame, path: str, json_path: str, ranks_path: str | None = Non
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], names=["doc_id", "start_in_file", "n_tokens", "ids"])
                 start += int(at[-1])
 
+    special = tuple(special_tokens(json_path))
     kind = dict(df.dtypes)["doc_id"]
-    out = rows.mapInArrow(run, f"doc_id {kind}, start_in_file long, n_tokens long, ids array<int>")
+    out = mapped(rows, run, f"doc_id {kind}, start_in_file long, n_tokens long, ids array<int>")
     out.write.options(**ORC).orc(path)
 
 
@@ -125,7 +137,7 @@ def crc32_of_ids(df: DataFrame, ids: str = "ids") -> DataFrame:
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sums, pa.int64())], names=schema.names)
 
-    return df.select(*kept, ids).mapInArrow(run, schema)
+    return mapped(df.select(*kept, ids), run, schema)
 
 
 def op7_token_orc(spark, sf_dir: str) -> DataFrame:

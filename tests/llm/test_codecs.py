@@ -178,3 +178,19 @@ def test_audio_of_any_bytes():
         data = bytes(data[: r.randint(0, len(data))])
         got = mpeg_audio.probe(data)
         assert got["broken"] <= got["checked"] <= len(got["offsets"]) and 0 <= got["skipped"] <= len(data)
+
+
+def test_the_library_is_loaded_for_odd_texts_only():
+    """A worker holds one vocabulary until a text needs the other encoder; ids are the library's with and without it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert token_orc.special_tokens(path) == special and special
+    encode = token_orc.Encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for texts, loaded in ((["plain words", None, "", "żó 1\n 2"], False), (["a" + special[0] + "b", "c"], True)):
+        ids, at = encode(pa.array(texts, pa.string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+        assert (encode.loaded is not None) == loaded
