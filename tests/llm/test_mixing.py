@@ -249,3 +249,35 @@ def test_totals_of_a_bucket_take_little_memory():
         got = np.cumsum(cm._unpack(x["grams"], "<u4"), dtype=np.int64)
         assert list(zip(got.tolist(), cm._unpack(x["gram_counts"], "<i8").tolist())) == want
         assert cm._unpack(x["words"], "<i8").tolist() == [3, 0]
+
+
+def test_counting_slots_takes_little_memory():
+    """Slices add to one table of counts; none makes a second table of that size."""
+    import tracemalloc
+
+    flat, n, _ = words_of(["the cat sat on the mat", "", "a b c " * 40])
+    batch = pa.RecordBatch.from_arrays([cm._one(pa.array([False, True, False])), cm._one(pa.array(n)), pa.array([cm._pack(flat.tobytes())], pa.binary())], names=list("abc"))
+    tree = cm.Tree(np.arange(1 << 16).reshape(256, 256) % 977)
+    tracemalloc.start()
+    rows = [r for b in cm._slot_counts(tree)(iter([batch, batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 1.5 * sum(4 * (2 << bits) for _, bits in cm.PREDICTORS)
+
+
+def test_numbers_are_packed_by_their_bytes():
+    r = np.random.default_rng(8)
+    for kind in ("<i4", "<u4", "<i8", "<u8", "<i2", "u1"):
+        for x in (r.integers(0, 100, 1000).astype(kind), np.zeros(0, kind)):
+            packed = cm._pack(x)
+            assert (cm._unpack(packed, kind) == x).all() and cm._unpack(packed, kind).dtype == x.dtype
+    x = r.integers(0, 1 << 18, 10_000).astype("<u4")  # as differences of keys
+    assert len(cm._pack(x)) < 0.9 * len(cm._pack(x.tobytes()))
+    assert (cm._unpack(cm._pack(x.tobytes()), "<u4") == x).all()
+
+
+def test_neighbouring_symbols_are_counted_across_pieces():
+    text = np.random.default_rng(9).integers(97, 100, (1 << 18) + 999).astype(np.uint8)
+    want = Counter(zip([32, *text[:-1].tolist()], text.tolist()))
+    got = cm._neighbours(text)
+    assert {(k >> 8, k & 255): int(got[k]) for k in np.flatnonzero(got)} == dict(want) and not cm._neighbours(text[:0]).any()
