@@ -114,8 +114,7 @@ def token_classes(spark, sf):
 def count_tanimoto_neighbours(spark, sf):
     """Of each document its class of equal word counts, and other classes with a count Tanimoto of .8 or more."""
     reps, rows = token_classes(spark, sf)
-    pairs = similarity.similarity_self_join(reps, 0.8)
-    return similarity.neighbour_counts(pairs, rows).select(F.col("row").alias("doc_id"), "class_id", "n_links")
+    return similarity.neighbour_counts(similarity.linked_counts(reps, 0.8), rows).select(F.col("row").alias("doc_id"), "class_id", "n_links")
 
 
 @query
@@ -126,7 +125,7 @@ def neighbours_at_the_cutoff(spark, sf):
     sold = items.groupBy(F.col("l_suppkey").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
     every = read(spark, sf, "part").groupBy(F.lit(-1).cast("long").alias("row")).agg(F.collect_set("p_brand").alias("brands"))
     reps, rows = similarity.classes(sold.unionByName(every), "row", "brands")
-    return similarity.neighbour_counts(similarity.similarity_self_join(reps, 0.56), rows).select(F.col("row").alias("l_suppkey"), "class_id", "n_links")
+    return similarity.neighbour_counts(similarity.linked_counts(reps, 0.56), rows).select(F.col("row").alias("l_suppkey"), "class_id", "n_links")
 
 
 def sparse_prints(spark, sf):
