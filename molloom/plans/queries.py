@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import cluster, filters, patterns, popcount_index, profile, selection, similarity, store, transform
+from molloom.operators import cluster, filters, patterns, popcount_index, profile, selection, set_walk, similarity, store, transform
 from molloom.operators import neighbour_graph as graphs
 from molloom.plans import enumeration
 from molloom.sources import schemes
@@ -151,14 +151,10 @@ def sphere_exclusion(spark, sf):
 def diverse_walk(spark, sf):
     """D1, joint rules: one vector of each set of 8 largest places, from the largest id down; two similar ones (Tanimoto .25)
     or one beyond .45 reject it, and 30 of a label are chosen at most."""
-    prints = sparse_prints(spark, sf)
-    reps, rows = similarity.classes(prints, "row", "bits")
-    member = rows.groupBy("class_id").agg(F.max("row").alias("top"))
-    labelled = read(spark, sf, "embeddings").select(F.col("vec_id").alias("top"), F.array("label").alias("blocks"))
-    walked = member.join(labelled, "top").select(F.col("top").alias("row"), (-F.col("top")).alias("rank"), "blocks", F.lit(False).alias("failed"))
-    near = similarity.similarity_self_join(reps, 0.25).select("a", "b", F.when(F.col("score") >= 0.45, "hard").otherwise("sim").alias("kind"))
-    ends = near.join(member.toDF("a", "ta"), "a").join(member.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "kind")
-    out = selection.diverse_walk(walked, ends, cap=30, max_sim=2)
+    member = sparse_prints(spark, sf).groupBy("bits").agg(F.max("row").alias("row"))
+    labelled = read(spark, sf, "embeddings").select(F.col("vec_id").alias("of_row"), F.array("label").alias("blocks"))
+    rows = member.join(labelled, F.col("row") == F.col("of_row")).select("row", (-F.col("row")).alias("rank"), "blocks", F.lit(False).alias("failed"), F.col("bits").alias("places"))
+    out = set_walk.walk_over_sets(rows, 64, 0.25, hard=0.45, cap=30, max_sim=2)
     return out.select(F.col("row").alias("vec_id"), "reason", "group")
 
 
