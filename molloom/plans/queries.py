@@ -135,16 +135,9 @@ def sparse_prints(spark, sf):
 @query
 def sphere_exclusion(spark, sf):
     """Directed sphere exclusion over vectors from the largest id down, Tanimoto .45 on their 8 largest places."""
-    prints = sparse_prints(spark, sf)
-    reps, rows = similarity.classes(prints, "row", "bits")
-    between = similarity.similarity_self_join(reps, 0.45)
-    # of equal fingerprints only the first in order can be chosen
-    member = rows.groupBy("class_id").agg(F.max("row").alias("top"))
-    ends = between.join(member.select(F.col("class_id").alias("a"), F.col("top").alias("ta")), "a").join(member.select(F.col("class_id").alias("b"), F.col("top").alias("tb")), "b")
-    pairs = ends.select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    tops = selection.sphere_exclusion(member.select(F.col("top").alias("row"), (-F.col("top")).alias("rank")), pairs)
-    out = rows.join(member, "class_id").join(tops.select(F.col("row").alias("t"), "chosen"), F.col("top") == F.col("t"))
-    return out.select(F.col("row").alias("vec_id"), F.when((F.col("row") == F.col("top")) & (F.col("chosen") == "Yes"), "OK").otherwise("sim").alias("reason"))
+    none = F.array().cast("array<int>").alias("blocks")
+    rows = sparse_prints(spark, sf).select("row", (-F.col("row")).alias("rank"), none, F.lit(False).alias("failed"), F.col("bits").alias("places"))
+    return set_walk.walk_over_sets(rows, 64, 0.45).select(F.col("row").alias("vec_id"), "reason")
 
 
 @query
