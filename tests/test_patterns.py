@@ -47,3 +47,16 @@ def test_thousands_of_patterns_are_one_plan(spark):
 def test_empty_sides(spark):
     t, p = frames(spark, ["abc"], ["abc"])
     assert pt.matches(t.limit(0), p).count() == pt.matches(t, p.limit(0)).count() == 0
+
+
+def test_a_long_text_is_read_once(spark):
+    """A text of hundreds of thousands of letters takes time by its length, not by its square."""
+    import time
+
+    texts = ["é b " * 100_000 + "straßenbahnen", "straßenbahn" * 20_000, "strassenbahnen", "straßenbahne", "photosynthesisphotosynt"]
+    patterns = ["straßenbahnen", "strass", "photosynthesis", "photosynth?esis", "synthetic", "bahnens"]
+    t, p = frames(spark, texts, patterns)
+    began = time.time()
+    want = {(i, j) for i, x in enumerate(texts) for j, q in enumerate(patterns) if re.search(q, x)}
+    assert {(x.key, x.number) for x in pt.matches(t, p).collect()} == want
+    assert time.time() - began < 60
