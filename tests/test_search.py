@@ -1,5 +1,6 @@
 import os
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,24 @@ def test_recall_of_hashed_neighbours(spark):
     a, b = prints_.toDF("a", "x"), prints_.toDF("b", "y")
     every = a.join(b, F.col("a") < F.col("b")).where(fp.tanimoto_bits(F.col("x"), F.col("y")) >= 0.3).select("a", "b")
     assert near.join(every, ["a", "b"]).count() >= 0.9 * every.count()
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_score_rows_are_made_where_the_row_is(spark, twice):
+    """Scores beside each other without a shuffle of scores; null, empty and repeated rows as in SQL."""
+    from molloom.operators import similarity
+
+    rows = [(i, w[0]) for i, w in prints(6, 70, 1)] + [(500, None), (501, 0)] + [(3, 12345)] * twice
+    df = spark.createDataFrame(rows, "vec_id long, word long").repartition(3)
+    queries = [(i, w) for i, w in rows if i % 10 == 0 or i in (70, 71)]
+    out = similarity.score_rows(df, spark.createDataFrame(queries, "q long, qword long"))
+    want = {}
+    for i, w in rows:
+        for q, x in queries:
+            c, u = (0, 0) if w is None or x is None else (((w & x) % (1 << 64)).bit_count(), ((w | x) % (1 << 64)).bit_count())
+            # half up from the double, as SQL rounds
+            want.setdefault(i, []).append((q, int(Decimal(repr(100 * (c / u))).quantize(Decimal(1), ROUND_HALF_UP)) if u else -1))
+    got = {r.vec_id: r.scores for r in out.collect()}
+    assert got == {i: ",".join("-" if p < 0 else str(p) for _, p in sorted(x)) for i, x in want.items()}
+    assert ("collect_list" in out._jdf.queryExecution().optimizedPlan().toString()) == twice
+    assert similarity.score_rows(df, spark.createDataFrame([], "q long, qword long")).count() == 0
