@@ -98,7 +98,7 @@ def neighbour_graph(spark, sf):
     """The 25 nearest of every fingerprint, by neighbours of neighbours; vectors with one fingerprint share them."""
     points, members = graphs.points_of(words_of(spark, sf), "vec_id", "word")
     near = graphs.neighbour_graph(points)[0]
-    return members.join(near, "point").select(F.col("row").alias("vec_id"), "point", "near", F.round("score", 6).alias("score"))
+    return members.join(near.hint("merge"), "point").select(F.col("row").alias("vec_id"), "point", "near", F.round("score", 6).alias("score"))
 
 
 def token_classes(spark, sf):

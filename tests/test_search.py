@@ -166,3 +166,18 @@ def test_tasks_pass_on_the_best_alone(spark, kind):
     for r in got.collect():
         want = sorted(((str(i) if kind == "string" else i, tanimoto(rows[r.q][1], x)) for i, x in rows if tanimoto(rows[r.q][1], x) is not None), key=lambda x: (-x[1], x[0]))
         assert r.row == want[r["rank"] - 1][0]
+
+
+def test_pairs_stay_in_their_tasks(spark, monkeypatch):
+    """Of the pairs that meet at a point only those leave a task that reach what an end holds; small files are not broadcast."""
+    monkeypatch.setattr(ng, "WINDOW", 8)
+    met = spark.createDataFrame([(1, 10, True), (1, 11, False), (1, 12, True), (1, 13, False)], "point long, near long, new boolean")
+    known = spark.createDataFrame([(10, 7, 0.5), (11, 3, 0.9), (12, 7, -1.0), (13, 3, 0.0)], "x_ long, w long, least double")
+    out = ng._local(met, known)
+    got = {(r.point, r.near): round(r.score, 3) for r in out.collect()}
+    assert got == {(10, 11): 0.667, (10, 12): 1.0, (10, 13): 0.667, (12, 10): 1.0, (12, 11): 0.667, (12, 13): 0.667, (13, 10): 0.667, (13, 12): 0.667}
+    r = random.Random(2)
+    points, _ = ng.points_of(spark.createDataFrame([(i, signed(r.getrandbits(64))) for i in range(120)], "id long, w long"), "id", "w")
+    starts = ng._starts(points.select("point", "words"), 5)
+    assert starts.groupBy("point").count().where("count < 5 OR count > 15").count() == 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
