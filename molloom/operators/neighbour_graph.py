@@ -40,7 +40,7 @@ def _first(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
 WINDOW, ORDERS, CHUNK = 256, (0, 21, 43), 1 << 20
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first one, complete keys only."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -62,7 +62,7 @@ def _tanimoto(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
-def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_within(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of equal key, a few at a time."""
     starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
     after = np.repeat(np.append(starts[1:], len(key)), np.diff(starts, append=len(key))) - np.arange(len(key)) - 1
@@ -81,7 +81,7 @@ def _told(point: np.ndarray, near: np.ndarray, score: np.ndarray) -> pa.RecordBa
 def _starts(points: DataFrame, k: int) -> DataFrame:
     """(point, near, score): of each point the k nearest in its windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for window, point, words in _groups(batches):
+        for window, point, words in by_key(batches):
             words = words.view(np.uint64)
             for w in np.unique(window).tolist():
                 i, j = np.searchsorted(window, [w, w + 1])
@@ -104,9 +104,9 @@ def _local(met: DataFrame, known: DataFrame) -> DataFrame:
     """met (point, near, new), known (x_, w, least): (point, near, score) of pairs met at a point, one of them new at least, that
     reach the least score of their first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for point, near, new, words, least in _groups(batches):
+        for point, near, new, words, least in by_key(batches):
             words = words.view(np.uint64)
-            for a, b in _pairs(point):
+            for a, b in pairs_within(point):
                 use = new[a] | new[b]
                 a, b = a[use], b[use]
                 score = _tanimoto(words[a], words[b])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molloom.functions import fingerprints as fp
 from molloom.operators import enumerate as en
-from molloom.operators import cluster, filters, patterns, popcount_index, profile, selection, set_walk, similarity, store, transform
+from molloom.operators import cluster, count_sets, filters, patterns, popcount_index, profile, selection, set_walk, similarity, store, transform
 from molloom.operators import neighbour_graph as graphs
 from molloom.plans import enumeration
 from molloom.sources import schemes
@@ -101,19 +101,12 @@ def neighbour_graph(spark, sf):
     return members.join(near.hint("merge"), "point").select(F.col("row").alias("vec_id"), "point", "near", F.round("score", 6).alias("score"))
 
 
-def token_classes(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("w"))
-    counts = docs.select("doc_id", F.explode("w").alias("x")).where("x <> ''").groupBy("doc_id", "x").agg(F.count("*").alias("m"))
-    sets = counts.groupBy("doc_id").agg(F.flatten(F.collect_list(fp.occurrences(F.col("x"), F.col("m")))).alias("tokens"))
-    full = docs.select("doc_id").join(sets, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    return similarity.classes(full, "doc_id", "tokens")
-
-
 @query
 def count_tanimoto_neighbours(spark, sf):
     """Of each document its class of equal word counts, and other classes with a count Tanimoto of .8 or more."""
-    reps, rows = token_classes(spark, sf)
-    return similarity.neighbour_counts(similarity.linked_counts(reps, 0.8), rows).select(F.col("row").alias("doc_id"), "class_id", "n_links")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("row"), F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+    linked, rows = count_sets.count_links(docs, 0.8)
+    return similarity.neighbour_counts(linked, rows).select(F.col("row").alias("doc_id"), "class_id", "n_links")
 
 
 @query
